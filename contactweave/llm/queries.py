@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.llm import encoding_repair, reference_match
+from contactweave.llm import encoding_repair, places, reference_match
 from contactweave.plans.registry import Registry
 from contactweave.session import table
 
@@ -33,3 +33,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = encoding_repair.repaired(table(spark, sf_dir, "sample_input"), "listing_id", ("name", "street"))
     return fixed.select("listing_id", "field_name", "value", "restored", F.array_join("layers", "; ").alias("layers"), "lost")
+
+
+@R.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = places.listing_records(table(spark, sf_dir, "sample_input")).unionByName(
+        places.result_records(table(spark, sf_dir, "results"))
+    )
+    placed = places.match_places(records, table(spark, sf_dir, "city_ref"), table(spark, sf_dir, "country_ref"))
+    return places.class_pairs(placed, "rec_id", "place")
