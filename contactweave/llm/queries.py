@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.llm import encoding_repair, places, reference_match
+from contactweave.llm import encoding_repair, org_names, places, reference_match
 from contactweave.plans.registry import Registry
 from contactweave.session import table
 
@@ -42,3 +42,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = places.match_places(records, table(spark, sf_dir, "city_ref"), table(spark, sf_dir, "country_ref"))
     return places.class_pairs(placed, "rec_id", "place")
+
+
+@R.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orgs = org_names.organisations(
+        table(spark, sf_dir, "sample_input"), table(spark, sf_dir, "city_ref"), table(spark, sf_dir, "country_ref")
+    )
+    return places.class_pairs(orgs, "listing_id", "org", "name")
