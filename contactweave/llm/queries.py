@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.llm import encoding_repair, org_names, places, reference_match
+from contactweave.llm import encoding_repair, leak_search, org_names, places, reference_match, stuffing, tokenizing
 from contactweave.plans.registry import Registry
 from contactweave.session import table
 
@@ -50,3 +50,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "sample_input"), table(spark, sf_dir, "city_ref"), table(spark, sf_dir, "country_ref")
     )
     return places.class_pairs(orgs, "listing_id", "org", "name")
+
+
+@R.add("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizing.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_search.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@R.add("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_documents(table(spark, sf_dir, "documents"))
