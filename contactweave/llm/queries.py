@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.llm import encoding_repair, leak_search, org_names, places, reference_match, stuffing, tokenizing
+from contactweave.llm import encoding_repair, leak_search, org_names, places, reference_match, residue, stuffing, tokenizing
 from contactweave.plans.registry import Registry
 from contactweave.session import table
 
@@ -65,3 +65,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_documents(table(spark, sf_dir, "documents"))
+
+
+@R.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_pages(table(spark, sf_dir, "pages")).select("page_id")
