@@ -11,8 +11,12 @@ No candidate is dropped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: (shortest length, edits allowed), longest first; below the last length only equal strings match.
 LADDER = ((14, 3), (8, 2), (5, 1))
@@ -26,54 +30,50 @@ def edits(length: Column, ladder=LADDER) -> Column:
     return c
 
 
-def _cuts(length: Column, k: int) -> list[tuple[Column, Column]]:
+def _allowed(n: int, ladder) -> int:
+    return next((k for least, k in ladder if n >= least), 0)
+
+
+def _cuts(n: int, k: int) -> list[tuple[int, int]]:
     """(start, size) of the k + 1 segments; the last ones are longer by one where it doesn't divide."""
-    base = F.floor(length / (k + 1)).cast("int")
-    extra = length - base * (k + 1)
-    out, start = [], F.lit(0)
+    base, extra = divmod(n, k + 1)
+    out, start = [], 0
     for i in range(k + 1):
-        size = base + F.when(F.lit(k + 1 - i) <= extra, 1).otherwise(0)
+        size = base + (k + 1 - i <= extra)
         out.append((start, size))
-        start = start + size
+        start += size
     return out
 
 
-def _index_keys(text: Column, ladder) -> Column:
-    n = F.length(text)
-    arms = None
-    for least, k in ladder:
-        keys = F.array(
-            *[
-                F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(text, start + 1, size).alias("s"))
-                for i, (start, size) in enumerate(_cuts(n, k))
-            ]
-        )
-        arms = F.when(n >= least, keys) if arms is None else arms.when(n >= least, keys)
-    return arms
-
-
-def _probe_keys(text: Column, ladder) -> Column:
-    """Substrings of `text` that may equal a segment of a string not longer than it."""
-    n = F.length(text)
-    top = max(k for _, k in ladder)
-    parts = []
-    for diff in range(top + 1):
-        m = n - diff  # length of the indexed string
-        for pos, (least, k) in enumerate(ladder):
-            if diff > k:
-                continue
-            upper = ladder[pos - 1][0] if pos else None
-            fits = (m >= least) if upper is None else (m >= least) & (m < upper)
-            for i, (start, size) in enumerate(_cuts(m, k)):
-                for shift in range(-((k - diff) // 2), (k + diff) // 2 + 1):
-                    at = start + shift
-                    parts.append(
-                        F.when(
-                            fits & (at >= 0) & (at + size <= n),
-                            F.struct(m.alias("n"), F.lit(i).alias("i"), F.substring(text, at + 1, size).alias("s")),
-                        )
-                    )
-    return F.array_distinct(F.filter(F.array(*parts), lambda x: x.isNotNull()))
+def index_keys(text: str, ladder=LADDER) -> list[str]:
+    """Length, number and letters of every segment."""
+    n = len(text)
+    k = _allowed(n, ladder)
+    return [f"{n}.{i}.{text[a : a + size]}" for i, (a, size) in enumerate(_cuts(n, k))] if k else []
+
+
+def probe_keys(text: str, ladder=LADDER) -> list[str]:
+    """Keys of the segments of shorter or equally long strings that `text` may hold."""
+    n = len(text)
+    keys: dict[str, None] = {}
+    for m in range(max(1, n - ladder[0][1]), n + 1):
+        k = _allowed(m, ladder)
+        diff = n - m
+        if diff > k or not k:
+            continue
+        for i, (start, size) in enumerate(_cuts(m, k)):
+            for at in range(max(0, start - (k - diff) // 2), min(n - size, start + (k + diff) // 2) + 1):
+                keys[f"{m}.{i}.{text[at : at + size]}"] = None
+    return list(keys)
+
+
+def _keys_udf(fn, ladder):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: fn(t, ladder))
+
+    return run.asNondeterministic()
 
 
 def similar_pairs(nodes: DataFrame, probes: DataFrame | None = None, ladder=LADDER) -> DataFrame:
@@ -87,27 +87,22 @@ def similar_pairs(nodes: DataFrame, probes: DataFrame | None = None, ladder=LADD
     nodes = nodes.filter(F.length("text") > 0)
     probes = nodes if probes is None else probes.filter(F.length("text") > 0)
 
-    def side(df: DataFrame, keys: Column, name: str) -> DataFrame:
-        return df.select("block", F.col("text").alias(name), F.explode(keys).alias("k")).select(
-            "block", name, "k.n", "k.i", "k.s"
-        )
+    def side(df: DataFrame, fn, name: str) -> DataFrame:
+        keys = _keys_udf(fn, ladder)(F.col("text"))
+        return df.select("block", F.col("text").alias(name), keys.alias("ks")).select("block", name, F.explode("ks").alias("k"))
 
     def join(short: DataFrame, long: DataFrame, short_name: str, long_name: str) -> DataFrame:
-        text = F.col("text")
-        left = side(short, _index_keys(text, ladder), short_name)
-        right = side(long, _probe_keys(text, ladder), long_name)
         a, b = F.col(short_name), F.col(long_name)
-        k = edits(F.length(a), ladder)
         order = (a < b) if not both else (a != b)
         cond = F.when(F.length(a) == F.length(b), order).otherwise(F.length(a) < F.length(b))
         top = max(k for _, k in ladder)
         return (
-            left.join(right, ["block", "n", "i", "s"])
+            side(short, index_keys, short_name)
+            .join(side(long, probe_keys, long_name), ["block", "k"])
             .filter(cond)
             .select("block", "a", "b")
             .distinct()
-            .filter(F.levenshtein("a", "b", top).between(0, top))
-            .filter(F.levenshtein("a", "b") <= k)
+            .filter(F.levenshtein(a, b, top).between(0, edits(F.length(a), ladder)))
         )
 
     if not both:
