@@ -214,6 +214,8 @@ def contacts(html: str | None) -> list[tuple[str, str, str | None, str, int]]:
             for field, value in json_contacts(tree):
                 if field == "url":
                     social(value, "structured")
+                else:
+                    found["structured"].append((field, value.strip().lower() if field == "email" else value.strip(), None))
     for prop, value in page.items:
         if prop == "email" and value:
             found["structured"].append(("email", value.removeprefix("mailto:").lower(), None))

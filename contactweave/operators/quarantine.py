@@ -97,6 +97,8 @@ def repair(line: str, columns: int) -> tuple[int, int, list[str]]:
                 else:
                     if n < columns:
                         offer((0, n + 1), q, d, trail)
+                    # the next field's quotes still follow the grammar when its delimiter goes
+                    offer((0, n), q, d + 1, ("delete_delimiter", at, trail))
                     offer((state, n), q, d + 1, ("delete_delimiter", at, trail))
             else:
                 if state in (0, 1):
