@@ -74,7 +74,7 @@ def decode_corpus(encoded: DataFrame, path: str = f"{TOKENIZER_DIR}/{BYTE_BPE_50
         ).alias("h")
     )
     return encoded.select(id_col).join(texts, id_col, "left").select(
-        id_col, F.coalesce(F.decode(F.unhex("h"), F.lit("UTF-8")), F.lit("")).alias("text")
+        id_col, F.coalesce(F.decode(F.unhex("h"), "UTF-8"), F.lit("")).alias("text")
     )
 
 
