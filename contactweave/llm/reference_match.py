@@ -138,20 +138,18 @@ class Countries:
 
     def __init__(self, rows: list[tuple]):
         self.codes: dict[str, str] = {}
-        self.trie = Trie()
+        self.trie, self.alias_trie = Trie(), Trie()
         for code, name, iso3, native in rows:
             for spelling in (code, iso3):
                 if spelling:
                     self.codes[squeeze(spelling).replace(" ", "")] = code
             aliases = [a.strip() for a in COUNTRY_ALIASES.get(code, "").split(";") if a.strip()]
-            for spelling in (name, native, *aliases):
-                if not spelling:
-                    continue
-                s = squeeze(spelling)
-                if len(s) <= 3:
-                    self.codes.setdefault(s.replace(" ", ""), code)
-                else:
-                    self.trie.add(s, code)
+            for trie, spellings in ((self.trie, (name, native)), (self.alias_trie, aliases)):
+                for s in map(squeeze, filter(None, spellings)):
+                    if len(s) <= 3:
+                        self.codes.setdefault(s.replace(" ", ""), code)
+                    else:
+                        trie.add(s, code)
 
     def match(self, value: str | None) -> str | None:
         """Country code of a typed value, or None."""
@@ -175,12 +173,13 @@ class Countries:
         if len(packed) <= 3:
             return self.codes.get(packed)
         limit = allowed_distance(len(s))
-        found = self.trie.search(s, limit)
+        # at one distance a listed name goes before an alias
+        found = [(d, 0, k) for k, d in self.trie.search(s, limit).items()]
+        found += [(d, 1, k) for k, d in self.alias_trie.search(s, limit).items()]
         if not found:
             return None
-        least = min(found.values())
-        nearest = [k for k, d in found.items() if d == least]
-        return nearest[0] if len(nearest) == 1 else None
+        nearest = {k for d, a, k in found if (d, a) == min(found)[:2]}
+        return nearest.pop() if len(nearest) == 1 else None
 
 
 class Towns:

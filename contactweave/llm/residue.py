@@ -90,7 +90,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _SLOT = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\{%[^%]{1,60}%\}|\$\{[^{}]{1,40}\}|<%.{1,60}?%>|\*\|[^|]{1,40}\|\*|\[\[[^\[\]]{1,40}\]\]|##[A-Za-z_ ]{2,40}##|%%[A-Za-z_ ]{2,40}%%"
 )
-_NAMED = re.compile(r"%([A-Za-z_]{2,40})%|\[([A-Za-z_ ]{2,40})\]|\{([A-Za-z_ ]{2,40})\}|__([A-Z_]{2,40})__")
+_NAMED = re.compile(r"%([A-Za-z_]{2,40})%|\[([A-Za-z_ ]{2,40})\]|\{([A-Za-z_ ]{2,40})\}|__([A-Z_]{2,40})__|<([A-Za-z_ ]{3,40})>")
 _PATH = re.compile(r"\"?(?:/[\w.\-]+){2,}(?::\d+)?\"?|\b(?:[A-Za-z_]\w*\.){2,}\w+\([\w.]+:\d+\)")
 _HOSTNAME = re.compile(r"\b(?:[\w\-]+\.)+[a-z]{2,}\b(?!\()")
 _TOKEN = re.compile(r"§\w+|[^\W\d_]+|\d+")

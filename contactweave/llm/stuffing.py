@@ -5,9 +5,9 @@ the residual around it and its extent (ranks per word, 1 when no word repeats).
 is the one whose prose it diverges from least; the divergence is the mean surprise of its words,
 -ln of the share of that language's distinct texts that hold the word, with one floor for rare
 words. A page that diverges from prose is flagged when its curve is too steep, too far from a
-line, or when extent and share of the language's function words together stay below what prose
-of any length has: prose repeats function words, so short pages have a high extent and long ones
-many function words, while stuffed pages have neither.
+line, or when extent, share of the language's function words and slope together stay below what
+prose of any length has: prose repeats function words, so short pages have a high extent and long
+ones many function words, while stuffed pages have neither.
 
 Statistics cover all texts, repeated texts counting once, so that copies of one page can't become
 the norm. Each distinct text is shuffled by its key once per pass; ranking and fitting need no
@@ -32,8 +32,10 @@ FLOOR = -math.log(0.001)
 #: A word held by this share of a language's texts is a function word of its prose.
 FUNCTION_SHARE = 0.2
 MAX_DIVERGENCE = 2.2
-MIN_EVENNESS = 1.0
+#: Evenness: extent + FUNCTION_WEIGHT * function_share + SLOPE_WEIGHT * slope; prose of any length has more.
+MIN_EVENNESS = 0.7
 FUNCTION_WEIGHT = 0.9
+SLOPE_WEIGHT = 0.5
 MIN_SLOPE = -0.85
 MAX_RESIDUAL = 0.45
 MAX_MODEL = 500_000
@@ -111,7 +113,7 @@ def flagged(features: DataFrame) -> DataFrame:
     curve = (
         (F.col("slope") <= MIN_SLOPE)
         | (F.col("residual") >= MAX_RESIDUAL)
-        | (F.col("extent") + FUNCTION_WEIGHT * F.col("function_share") < MIN_EVENNESS)
+        | (F.col("extent") + FUNCTION_WEIGHT * F.col("function_share") + SLOPE_WEIGHT * F.greatest("slope", F.lit(-1.0)) < MIN_EVENNESS)
     )
     return features.withColumn("stuffed", (F.col("divergence") >= MAX_DIVERGENCE) & curve)
 
