@@ -54,7 +54,7 @@ TRADE_WORDS = {
 }
 #: Words that stand beside trades, and legal forms, titles and joining words, folded.
 PLAIN_WORDS = set(
-    "services svcs centre center ctr centro ctro shop store house school sch company co studio std clinic clin sln salon casa maison mson de des du d l la el il di del della dhotes "
+    "services svcs centre center ctr centro ctro shop store house school sch company co studio std clinic clin clinica sln salon casa maison mson de des du d l la el il di del della dhotes "
     "cabinet cab bureau bur estudio est ecole scuola atelier auto bar "
     "ltd limited inc llc plc gmbh gbr ohg ek kg ug ag sa sl slu sarl eurl sas snc srl spa bv cie sons "
     "dr dipl ing dip prof mr mrs ms herr frau and u und y et e i o of the n "
@@ -97,19 +97,24 @@ def _word_kind(w: str) -> tuple[str, str]:
         if near:
             x = min(near)[1]
             return ("trade", _TRADE[x]) if x in _TRADE else ("plain", "")
-        near = [(d, x) for x in _LONG_FIRST if abs(len(x) - len(w)) <= 1 and (d := damerau(w, x, 1)) <= 1]
-        if near:
-            return "first", _FIRST[min(near)[1]]
     return "core", w
 
 
+@lru_cache(maxsize=200_000)
+def _near_first(w: str) -> str:
+    """First name one edit away, '' without one."""
+    near = [x for x in _LONG_FIRST if len(w) >= 5 and abs(len(x) - len(w)) <= 1 and damerau(w, x, 1) <= 1]
+    return _FIRST[min(near)] if near else ""
+
+
 def take_apart(name: str | None) -> tuple[str, list[str], str, str]:
     """(core without spaces, its other forms, first name or initial, trade) of a name."""
     if name is None or not name.strip():
         return "", [], "", ""
     s = fold(repair(name)[0])
     s = re.sub(r"^[^\s?]{3,}\?\s+", " ", s) if re.match(r"^(?:hungry|arger)\?", s) else s
-    s = _QUOTED.sub(" ", s)
+    s = re.sub(r"(?<=\w)[–—](?=\w)", "-", _QUOTED.sub(" ", s))
+    s = re.sub(r"(?<=[\w.])tm\s*$", "", s)  # a trademark sign written out
     core, first, trade = _words(_TAIL.sub(" ", s))
     if len(core) < 2 and len("".join(core)) < 9:  # the dash stood inside the name
         core, first, trade = _words(s)
@@ -138,7 +143,7 @@ def _words(s: str) -> tuple[list[str], str, str]:
         parts = [glued.replace("-", "")] if kind in ("trade", "plain") else re.split(r"[-–—]", glued)
         for w in parts:
             w = re.sub(r"[^\w?�]", "", w)
-            if not w or any(c.isdigit() for c in w):
+            if not w.strip("?�") or any(c.isdigit() for c in w):
                 continue
             if not re.search(r"[a-z]", w) and "?" not in w:
                 continue  # a word in another script decorates
@@ -149,6 +154,10 @@ def _words(s: str) -> tuple[list[str], str, str]:
                 trade = trade or value
             elif kind == "core" and len(w) > 1:
                 core.append(w)
+    if not first and len(core) > 2:  # a misspelt first name stands beside the family's two words
+        at = next((i for i, w in enumerate(core) if _near_first(w)), None)
+        if at is not None:
+            first = _near_first(core.pop(at))
     return core, first or initial, trade
 
 
