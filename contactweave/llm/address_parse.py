@@ -29,8 +29,8 @@ BUILDING = {"house", "hse", "haus", "hs", "residence", "res", "edificio", "edif"
 
 _UNIT = re.compile(r"\b(?:unit|apt|apartment|flat|suite|ste|floor|shop|office|room|level|top|stiege|piso|interno|etage)\b\.?\s*(?:n[ro]?[.º]?\s*|#\s*)?\d+[a-z]?\b|\b\d+(?:st|nd|rd|th)\s+floor\b")
 _POSTAL = re.compile(r"\b[a-z]{3,4} \d{4}\b|\b\d{5}\b|\b\d{4} ?[a-z]{2}\b")
-_NUMBER = re.compile(r"(?:#|\bn(?:[ro]?\.|º|o|r|um)?\s*)?\s*\b(\d{1,4})(?:\s*[-/ ]?\s*([a-z]))?\b(?![\d])", re.I)
-_MARK = re.compile(r"(?:#|\bn(?:º|[ro]\.?|°)|\bn\?|n�|\bnum\.?)\s*(?=\d)")
+_NUMBER = re.compile(r"(?:#|\bn(?:[ro]?\.|º|o|r|um)?\s*)?\s*\b(\d{1,4})(?:\s*[-/ ]?\s*([a-z])(?![\w?�]))?(?![\w?�])", re.I)
+_MARK = re.compile(r"(?:#|\bn(?:º|[ro]\.?|°)|\bn\?|n\ufffd|\bnum\.?)\s*(?=\d)")
 
 
 class Place(NamedTuple):
@@ -58,7 +58,9 @@ def parse(text: str | None) -> Place:
     if text is None or not text.strip():
         return NOWHERE
     s = fold(repair(text)[0])
-    s = re.sub(r"\bp\.?\s?º", "paseo ", s)
+    s = re.sub(r"stra[?\ufffd]e", "strasse", s)
+    s = re.sub(r"\bp\.?\s?º|\bp\.[?\ufffd]", "paseo ", s)
+    s = re.sub(r"\bc/\s*", "calle ", s)
     s = re.sub(r"\bv\.le\b", "viale", s)
     s = re.sub(r"\bc\.so\b", "corso", s)
     s = re.sub(r"\bp\.za\b|\bp\.zza\b", "piazza", s)
@@ -111,7 +113,7 @@ def parse(text: str | None) -> Place:
             else:
                 names.append(w)
         if names:
-            loose.append("".join(re.sub(r"[^a-z0-9?�Ͱ-ӿ]", "", w) for w in names))
+            loose.append("".join(re.sub(r"[^a-z0-9?\ufffd\u0370-\u04ff]", "", w) for w in names))
     if loose:
         street = loose[0]
         if not kind:
