@@ -28,7 +28,7 @@ from contactweave.llm.address_parse import parse as parse_address
 from contactweave.llm.components import connected, ensure_checkpoint_dir
 from contactweave.llm.encoding_repair import repair
 from contactweave.llm.folding import damerau, fold
-from contactweave.llm.places import SEP
+from contactweave.llm.places import SEP, inherit_towns
 from contactweave.llm.reference_match import Countries, Towns, _Memo, load_countries, load_towns
 from contactweave.llm.segment_join import similar_pairs
 
@@ -179,6 +179,8 @@ _PARTS = T.StructType(
         T.StructField("trade", T.StringType()),
         T.StructField("cats", T.ArrayType(T.StringType())),
         T.StructField("number", T.StringType()),
+        T.StructField("street", T.StringType()),
+        T.StructField("country", T.StringType()),
         T.StructField("phones", T.ArrayType(T.StringType())),
         T.StructField("host", T.StringType()),
     ]
@@ -199,7 +201,8 @@ def parts_udf(towns: list[tuple], countries: list[tuple]):
 
     @F.pandas_udf(_PARTS)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        town_ref, memo = Towns(towns, Countries(countries)), _Memo()
+        land = Countries(countries)
+        town_ref, memo = Towns(towns, land), _Memo()
         for cols in batches:
             out = []
             for name, street, city, country, cats, phone, url, email in zip(*cols):
@@ -214,7 +217,7 @@ def parts_udf(towns: list[tuple], countries: list[tuple]):
                             break
                 core, forms, first, trade = take_apart(name)
                 phones = [d[-8:] for d in (re.sub(r"\D", "", re.sub(r"(?i)ext.*", "", p)) for p in re.split(r"[;,|\n\t•\"']| & | and | or | / ", phone or "")) if len(d) >= 7]
-                out.append((town, core, forms, first, trade, trades_of(cats), place.number or place.building, phones, _host(url, email)))
+                out.append((town, core, forms, first, trade, trades_of(cats), place.number or place.building, place.street, land.match(country) or "", phones, _host(url, email)))
             yield pd.DataFrame(out, columns=_PARTS.names)
 
     return run.asNondeterministic()
@@ -268,7 +271,8 @@ resolve_udf = resolve_udf.asNondeterministic()
 
 
 def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> DataFrame:
-    """listing_id, name, org (class id). Null and blank names, and names without a core, have no class."""
+    """listing_id, name, org (class id). Null and blank names, names without a core and listings whose town
+    can't be told have no class."""
     ensure_checkpoint_dir(sample_input.sparkSession)
     udf = parts_udf(load_towns(city_ref), load_countries(country_ref))
     base = (
@@ -296,11 +300,25 @@ def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: Dat
     near = similar_pairs(known_nodes.select("block", "text").distinct(), lost_nodes)
     same = lost_nodes.select("block", F.col("text").alias("a"), F.col("text").alias("b"))
     hits = near.unionByName(same).join(known_nodes.select("block", F.col("text").alias("a"), "town"), ["block", "a"])
+    # else that of its street, else that of the only town in its country with such a core
+    known = base.filter(F.col("town") != "")
+    streets = known.filter(F.col("street") != "").select("town", "street").distinct()
+    by_street = inherit_towns(
+        lost.filter(F.col("street") != "").select(F.col("listing_id").alias("rec_id"), "street", "country", F.lit("").alias("house")),
+        streets.withColumn("street_id", F.concat_ws(SEP, "town", "street")),
+        streets.limit(0).select(F.lit("").alias("street_id"), F.lit("").alias("house")),
+        city_ref,
+    ).filter("as_town IS NOT NULL").select(F.col("rec_id").alias("listing_id"), F.col("as_town").alias("street_town"))
+    in_land = known.join(city_ref.select(F.col("city_key").alias("town"), F.col("country_code").alias("block")), "town").select("block", F.col("core").alias("a"), "town").distinct()
+    lost_cores = lost.select(F.col("country").alias("block"), F.col("core").alias("text")).distinct()
+    alike = similar_pairs(in_land.select("block", F.col("a").alias("text")).distinct(), lost_cores).unionByName(
+        lost_cores.select("block", F.col("text").alias("a"), F.col("text").alias("b"))
+    )
     exact = (
-        lost.select("core").distinct()
-        .join(base.filter(F.col("town") != "").select("core", "town").distinct(), "core")
-        .groupBy("core").agg(F.countDistinct("town").alias("n"), F.min("town").alias("exact_town"))
-        .filter("n = 1").select("core", "exact_town")
+        alike.join(in_land, ["block", "a"])
+        .groupBy(F.col("block").alias("country"), F.col("b").alias("core"))
+        .agg(F.countDistinct("town").alias("n"), F.min("town").alias("exact_town"))
+        .filter("n = 1").select("country", "core", "exact_town")
     )
     found = (
         lost_marks.join(hits.select("block", F.col("b").alias("text"), F.col("town").alias("t")), ["block", "text"])
@@ -308,9 +326,9 @@ def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: Dat
         .filter("n = 1").select("listing_id", "mark_town")
     )
     base = (
-        base.join(found, "listing_id", "left").join(exact, "core", "left")
-        .withColumn("town", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("mark_town", "exact_town", F.lit(""))))
-        .drop("mark_town", "exact_town")
+        base.join(found, "listing_id", "left").join(by_street, "listing_id", "left").join(exact, ["country", "core"], "left")
+        .withColumn("town", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("mark_town", "street_town", "exact_town", F.lit(""))))
+        .drop("mark_town", "street_town", "exact_town")
         .checkpoint()
     )
     # spelling classes of cores inside a town; every rotation of a core is a form of its node

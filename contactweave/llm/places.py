@@ -74,6 +74,48 @@ def fuzzy_roots(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("id", ident).join(roots, "id").select("block", "text", "root")
 
 
+def house_of():
+    """Number or building as one value; '' without either."""
+    return F.when(F.col("number") != "", F.concat(F.lit("#"), "number")).when(F.col("building") != "", F.concat(F.lit("@"), "building")).otherwise("")
+
+
+def inherit_towns(lost: DataFrame, streets: DataFrame, houses: DataFrame, city_ref: DataFrame) -> DataFrame:
+    """rec_id, towns (candidates), as_town and as_id (null unless decided) of records without a town.
+
+    `lost`: (rec_id, street, country, house); `streets`: (town, street, street_id); `houses`:
+    distinct (street_id, house). Candidates lie in the record's country, where one is given, and hold
+    its street in any spelling. One candidate decides; of several, the only one with the same house.
+    """
+    spelled = lost.select(F.lit("*").alias("block"), F.col("street").alias("text")).distinct()
+    everywhere = streets.select(F.lit("*").alias("block"), F.col("street").alias("text")).distinct()
+    near = similar_pairs(everywhere, spelled).select(F.col("b").alias("street"), F.col("a").alias("as_street"))
+    near = near.unionByName(spelled.select(F.col("text").alias("street"), F.col("text").alias("as_street")))
+    where = city_ref.select(F.col("city_key").alias("town"), F.col("country_code").alias("town_country"))
+    named = streets.select("town", F.col("street").alias("as_street"), "street_id")
+    found = (
+        lost.join(near, "street")
+        .join(named, "as_street")
+        .join(where, "town")
+        .filter((F.col("country") == "") | (F.col("country") == F.col("town_country")))
+        .select("rec_id", "house", "town", "street_id")
+        .distinct()
+        .join(houses.withColumn("hit", F.lit(1)), ["street_id", "house"], "left")
+    )
+    per = found.groupBy("rec_id", "town").agg(F.min("street_id").alias("sid"), F.max("hit").alias("hit"))
+    best = F.max_by(F.struct("town", "sid"), F.coalesce("hit", F.lit(0)))
+    return (
+        per.groupBy("rec_id")
+        .agg(F.count("*").alias("n"), F.count("hit").alias("h"), best.alias("b"))
+        .withColumn("towns", F.when((F.col("n") > 1) & (F.col("h") > 0), F.col("h")).otherwise(F.col("n")))
+        .select(
+            "rec_id",
+            "towns",
+            F.when(F.col("towns") == 1, F.col("b.town")).alias("as_town"),
+            F.when(F.col("towns") == 1, F.col("b.sid")).alias("as_id"),
+        )
+    )
+
+
 def match_places(records: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> DataFrame:
     """rec_id, place (class id, null without one) and towns (candidates of a record without a town).
 
@@ -93,33 +135,20 @@ def match_places(records: DataFrame, city_ref: DataFrame, country_ref: DataFrame
         F.col("block").alias("town"), F.col("text").alias("street"), F.col("root").alias("street_id")
     ).checkpoint()
 
-    # a missing town inherits the towns in which the same street and house occur
-    lost = rec.filter((F.col("town") == "") & (F.col("street") != ""))
-    spelled_lost = lost.select(F.lit("*").alias("block"), F.col("street").alias("text")).distinct()
-    everywhere = streets.select(F.lit("*").alias("block"), F.col("street").alias("text")).distinct()
-    near = similar_pairs(everywhere, spelled_lost).select(F.col("b").alias("street"), F.col("a").alias("as_street"))
-    near = near.unionByName(
-        spelled_lost.select(F.col("text").alias("street"), F.col("text").alias("as_street"))
-    )
-    house = F.when(F.col("number") != "", F.concat(F.lit("#"), "number")).otherwise(F.concat(F.lit("@"), "building"))
-    known = rec.filter(F.col("town") != "").join(streets, ["town", "street"]).select(
-        "street_id", F.col("street").alias("as_street"), house.alias("house"), F.col("town").alias("as_town")
-    ).distinct()
-    towns = (
-        lost.withColumn("house", house)
-        .join(near, "street")
-        .join(known, ["as_street", "house"])
-        .groupBy("rec_id")
-        .agg(F.countDistinct("as_town").alias("towns"), F.min("as_town").alias("as_town"), F.min("street_id").alias("as_id"))
+    # a missing town inherits the towns with that street; several are narrowed by the house
+    lost = rec.filter((F.col("town") == "") & (F.col("street") != "")).select("rec_id", "street", "country", house_of().alias("house"))
+    houses = (
+        rec.filter(F.col("town") != "").join(streets, ["town", "street"]).select("street_id", house_of().alias("house")).distinct()
     )
+    towns = inherit_towns(lost, streets, houses, city_ref)
     placed = (
         rec.join(streets, ["town", "street"], "left")
         .join(towns, "rec_id", "left")
         .select(
             "rec_id",
             F.coalesce("towns", F.lit(0)).alias("towns"),
-            F.when(F.col("town") != "", F.col("town")).otherwise(F.when(F.col("towns") == 1, F.col("as_town"))).alias("town"),
-            F.coalesce("street_id", F.when(F.col("towns") == 1, F.col("as_id"))).alias("street_id"),
+            F.when(F.col("town") != "", F.col("town")).otherwise(F.col("as_town")).alias("town"),
+            F.coalesce("street_id", "as_id").alias("street_id"),
             "number",
             "building",
         )

@@ -119,13 +119,13 @@ def test_places(spark):
     city, country = spark.createDataFrame(TOWNS, CITY_SCHEMA), spark.createDataFrame(COUNTRIES, COUNTRY_SCHEMA)
     rows = [
         (1, "7 Dolharsabmur Road", "Golzeldun", "DE"), (2, "Dolharsabmur Rd. No. 7, Flat 2", "golzeldun", "DE"), (3, "7A Dolharsabmur Road", "Golzeldun", "DE"), (4, "Dolharsabmur Road", "Golzeldun", "DE"),
-        (5, "nº 7, Dolhrasabmur", None, "DE"), (6, "7 Dolharsabmur Road", "St Novbri", "MT"), (7, None, None, None), (8, "Wixsel House, Dolharsabmur Road", "Golzeldun", "DE"),
+        (5, "nº 7, Dolhrasabmur", None, "DE"), (6, "7 Dolharsabmur Road", "Quadolzel", "DE"), (7, None, None, None), (8, "Wixsel House, Dolharsabmur Road", "Golzeldun", "DE"),
         (9, "Dolharsabmur Rd - House Wixsel", "Golzeldun", "DE"), (10, "7 Dolharsabmur Road", "Golzeldun", "DE"),
     ]
     rec = spark.createDataFrame(rows, "rec_id long, street string, city string, country string")
     placed = places.match_places(rec, city, country)
     got = {tuple(r) for r in places.class_pairs(placed, "rec_id", "place").collect()}
-    assert got == {(1, 2), (1, 10), (2, 10), (8, 9)}  # record 5 fits two towns: it stays explicit and links nothing
+    assert got == {(1, 2), (1, 10), (2, 10), (8, 9)}  # record 5 fits two towns of its country: it stays explicit and links nothing
     assert {r["rec_id"]: r["towns"] for r in placed.collect()}[5] == 2
     one_town = places.match_places(rec.filter("rec_id <> 6"), city, country)
     assert (1, 5) in {tuple(r) for r in places.class_pairs(one_town, "rec_id", "place").collect()}
