@@ -9,15 +9,24 @@ SPECIAL = {
     "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ğ": "g", "Ğ": "G", "đ": "d", "Đ": "D",
     "ß": "ss", "ẞ": "SS", "ı": "i", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th",
 }
-_TABLE = str.maketrans(SPECIAL)
+
+
+class _Folding(dict):
+    """Code point to folded text, filled as letters turn up."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        plain = unicodedata.normalize("NFD", SPECIAL.get(c, c))
+        folded = self[code] = "".join(x for x in plain if not unicodedata.combining(x)).casefold()
+        return folded
+
+
+_FOLDING = _Folding()
 
 
 def fold(text: str) -> str:
-    """Lower case without accents; ASCII passes through at C speed."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFD", text.translate(_TABLE))
-    return "".join(c for c in text if not unicodedata.combining(c)).casefold()
+    """Lower case without accents; ASCII passes through at C speed, other text in one translation."""
+    return text.lower() if text.isascii() else text.translate(_FOLDING)
 
 
 def damerau(a: str, b: str, limit: int) -> int:
