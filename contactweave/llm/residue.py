@@ -93,6 +93,9 @@ _SLOT = re.compile(
 _NAMED = re.compile(r"%([A-Za-z_]{2,40})%|\[([A-Za-z_ ]{2,40})\]|\{([A-Za-z_ ]{2,40})\}|__([A-Z_]{2,40})__|<([A-Za-z_ ]{3,40})>")
 _PATH = re.compile(r"\"?(?:/[\w.\-]+){2,}(?::\d+)?\"?|\b(?:[A-Za-z_]\w*\.){2,}\w+\([\w.]+:\d+\)")
 _HOSTNAME = re.compile(r"\b(?:[\w\-]+\.)+[a-z]{2,}\b(?!\()")
+_LOCATION = re.compile(r"\(\w+:\d+\)")
+_CODE_NAME = re.compile(r"\$\w+|\"\w+\"(?= of null)|(?<=found: )\w+")
+_INNER_DOT = re.compile(r"\w\.[a-z]")
 _TOKEN = re.compile(r"§\w+|[^\W\d_]+|\d+")
 
 
@@ -124,11 +127,14 @@ def has_slot(window: str) -> bool:
 
 def terms(window: str) -> list[str]:
     """Folded terms; numbers, paths, hosts and code names are masked."""
-    s = _PATH.sub(" §path ", window)
-    s = re.sub(r"\$\w+|\"\w+\"(?= of null)", " §name ", s)
-    s = re.sub(r"(?<=found: )\w+", " §name ", s)
-    s = re.sub(r"\(\w+:\d+\)", " §loc ", s)
-    s = _HOSTNAME.sub(" §host ", s)
+    s = window
+    if "/" in s or "(" in s:
+        s = _PATH.sub(" §path ", s)
+        s = _LOCATION.sub(" §loc ", s)
+    if "$" in s or '"' in s or "found: " in s:
+        s = _CODE_NAME.sub(" §name ", s)
+    if _INNER_DOT.search(s):
+        s = _HOSTNAME.sub(" §host ", s)
     return ["#" if t.isdigit() else t for t in _TOKEN.findall(fold(s))]
 
 
@@ -159,6 +165,8 @@ class Index:
             self.weight.append(sum(self.of(t) for t in s))
             for t in s:
                 self.index.setdefault(t, []).append(i)
+        # without any of an exemplar's heavier half of terms a window can't hold most of its weight
+        self.telling = self.filler | {t for s in self.sets for t in sorted(s, key=lambda t: (-self.of(t), t))[: max(2, len(s) // 2 + 1)]}
 
     def of(self, term: str) -> float:
         return self.idf.get(term, UNKNOWN_IDF)
@@ -168,6 +176,8 @@ class Index:
         if has_slot(window):
             return "slot"
         ts = set(terms(window))
+        if ts.isdisjoint(self.telling):
+            return None
         if len(ts) < 2 or len(ts) > 60:
             return "filler" if len(ts) > 60 and self._filler(ts) else None
         total = sum(self.of(t) for t in ts)
@@ -198,7 +208,7 @@ def term_idf(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda h: sorted({t for w in passages(h) for t in terms(w)} & vocab))
+            yield s.map(lambda h: sorted(vocab.intersection(t for w in passages(h) for t in terms(w))))
 
     shown = pages.filter(F.length(html_col) > 0)
     found = shown.select(known(F.col(html_col)).alias("ts"))
