@@ -74,8 +74,30 @@ CATEGORY_TRADES = frozenset(TRADE_WORDS)
 
 _FIRST = {w: g.split()[0] for g in FIRST_NAMES for w in g.split()}
 _TRADE = {w: t for t, ws in TRADE_WORDS.items() for w in ws.split()}
-_LONG_FIRST = [w for w in _FIRST if len(w) >= 5]
-_LONG_TRADE = [w for w in [*_TRADE, *PLAIN_WORDS] if len(w) >= 6]
+
+
+def _letters(w: str) -> int:
+    """Set of letters as bits: an edit changes at most two of them."""
+    bits = 0
+    for c in w:
+        bits |= 1 << (ord(c) & 31)
+    return bits
+
+
+_LONG_FIRST = [(w, _letters(w)) for w in sorted(_FIRST) if len(w) >= 5]
+_LONG_TRADE = [(w, _letters(w)) for w in sorted({*_TRADE, *PLAIN_WORDS}) if len(w) >= 6]
+
+
+def _nearest(w: str, words: list[tuple[str, int]], limit: int) -> str | None:
+    """Nearest word within `limit` edits, the first in order of ties."""
+    bits, best = _letters(w), (limit + 1, "")
+    for x, known in words:
+        if abs(len(x) - len(w)) <= limit and (bits ^ known).bit_count() <= 2 * limit:
+            d = damerau(w, x, limit)
+            if d < best[0]:
+                best = (d, x)
+    return best[1] or None
+
 
 _TAIL = re.compile(r"\s+[–—•…|]\s*.*$|\s+[?�]\s+.*$|\s*[©™®]\s*$|\s+\d+\s?°\s*$")
 _QUOTED = re.compile(r"[“\"«„][^“”\"«»„]*[”\"»“]|[?�][^\s?�]+[?�](?=\s|$)")
@@ -93,9 +115,8 @@ def _word_kind(w: str) -> tuple[str, str]:
         return "plain", ""
     if len(w) >= 5:
         limit = 1 if len(w) < 9 else 2
-        near = [(d, x) for x in _LONG_TRADE if abs(len(x) - len(w)) <= limit and (d := damerau(w, x, limit)) <= limit]
-        if near:
-            x = min(near)[1]
+        x = _nearest(w, _LONG_TRADE, limit)
+        if x:
             return ("trade", _TRADE[x]) if x in _TRADE else ("plain", "")
     return "core", w
 
@@ -103,8 +124,8 @@ def _word_kind(w: str) -> tuple[str, str]:
 @lru_cache(maxsize=200_000)
 def _near_first(w: str) -> str:
     """First name one edit away, '' without one."""
-    near = [x for x in _LONG_FIRST if len(w) >= 5 and abs(len(x) - len(w)) <= 1 and damerau(w, x, 1) <= 1]
-    return _FIRST[min(near)] if near else ""
+    x = _nearest(w, _LONG_FIRST, 1) if len(w) >= 5 else None
+    return _FIRST[x] if x else ""
 
 
 def take_apart(name: str | None) -> tuple[str, list[str], str, str]:
@@ -165,9 +186,8 @@ def trades_of(categories: str | None) -> list[str]:
     """Trades named in a category field."""
     if not categories:
         return []
-    words = set(re.findall(r"[a-z_]+", fold(categories).replace(" ", "_")))
     text = fold(categories).replace(" ", "_")
-    return sorted(t for t in CATEGORY_TRADES if t in words or t in text)
+    return sorted(t for t in CATEGORY_TRADES if t in text)
 
 
 _PARTS = T.StructType(
@@ -337,7 +357,8 @@ def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: Dat
     ).distinct()
     texts = nodes.select("block", "text").distinct()
     ident = lambda c: F.concat_ws(SEP, "block", c)
-    pairs = similar_pairs(texts).select(ident("a").alias("a"), ident("b").alias("b"))
+    cores = base.filter(F.col("town") != "").select(F.col("town").alias("block"), F.col("core").alias("text")).distinct()
+    pairs = similar_pairs(texts, primary=cores).select(ident("a").alias("a"), ident("b").alias("b"))
     forms = nodes.filter("core <> text").select(ident("core").alias("a"), ident("text").alias("b"))
     roots = connected(texts.select(ident("text").alias("id")), pairs.unionByName(forms))
     classes = (
