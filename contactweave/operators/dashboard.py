@@ -40,18 +40,29 @@ def _percent(a: Column, b: Column) -> Column:
 
 
 def totals(contacts: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """One row: counts by status, contacts found, coverage, activity and mean time."""
-    return contacts.agg(
-        F.count("*").alias("total_rows"),
-        *[_status(s).alias(f"{s}_count") for s in ("success", "failed", "pending")],
-        *[_total(f"{k}_count").alias(f"total_{k}") for k in ("emails", "phones", "whatsapp")],
-        *[_count(F.col(f"has_{k}")).alias(f"rows_with_{k}") for k in ("email", "phone", "whatsapp")],
-        *[_count(F.col(f"social_{k}").isNotNull()).alias(f"rows_with_{k}") for k in ("facebook", "instagram")],
+    """One row: counts by status, contacts found, coverage, activity and mean time.
+
+    Two levels: figures per (country, server) first, then over those few rows, so that the distinct
+    counts expand the groups and not the table.
+    """
+    parts = {
+        **{f"{s}_count": _status(s) for s in ("success", "failed", "pending")},
+        **{f"total_{k}": _total(f"{k}_count") for k in ("emails", "phones", "whatsapp")},
+        **{f"rows_with_{k}": _count(F.col(f"has_{k}")) for k in ("email", "phone", "whatsapp")},
+        **{f"rows_with_{k}": _count(F.col(f"social_{k}").isNotNull()) for k in ("facebook", "instagram")},
+        "processed_24h": _count(within(F.col("updated_at"), "24 HOURS", as_of)),
+        "processed_1h": _count(within(F.col("updated_at"), "1 HOUR", as_of)),
+    }
+    per = contacts.groupBy("country_code", "last_scrape_server").agg(
+        F.count("*").alias("total_rows"), *[c.alias(n) for n, c in parts.items()],
+        F.sum("scrape_time_seconds").alias("seconds"), F.count("scrape_time_seconds").alias("timed"),
+    )
+    added = lambda n: F.coalesce(F.sum(n), F.lit(0)).alias(n)
+    return per.agg(
+        added("total_rows"), *[added(n) for n in parts],
         F.countDistinct("country_code").alias("countries_count"),
         F.countDistinct("last_scrape_server").alias("active_servers"),
-        _count(within(F.col("updated_at"), "24 HOURS", as_of)).alias("processed_24h"),
-        _count(within(F.col("updated_at"), "1 HOUR", as_of)).alias("processed_1h"),
-        round_as_decimal(F.avg("scrape_time_seconds"), 2).alias("avg_scrape_time"),
+        round_as_decimal(F.sum("seconds") / F.nullif(F.sum("timed"), F.lit(0)), 2).alias("avg_scrape_time"),
     )
 
 
@@ -70,19 +81,22 @@ def country_stats(contacts: DataFrame) -> DataFrame:
 
 
 def hourly_stats(contacts: DataFrame, as_of: str = AS_OF, interval: str = "7 DAYS") -> DataFrame:
-    """Per hour of the last days."""
-    return (
+    """Per hour of the last days; per (hour, server) first, so the distinct count needs no expansion."""
+    found = ("emails", "phones", "whatsapp")
+    per = (
         contacts.filter(within(F.col("updated_at"), interval, as_of))
-        .groupBy(F.date_trunc("hour", "updated_at").cast("timestamp_ntz").alias("hour"))
+        .groupBy(F.date_trunc("hour", "updated_at").cast("timestamp_ntz").alias("hour"), "last_scrape_server")
         .agg(
-            F.count("*").alias("rows_processed"),
-            _status("success").alias("success_count"),
-            _status("failed").alias("failed_count"),
-            *[_total(f"{k}_count").alias(f"{k}_found") for k in ("emails", "phones", "whatsapp")],
-            round_as_decimal(F.avg("scrape_time_seconds"), 2).alias("avg_time"),
-            F.countDistinct("last_scrape_server").alias("active_servers"),
+            F.count("*").alias("rows_processed"), _status("success").alias("success_count"), _status("failed").alias("failed_count"),
+            *[_total(f"{k}_count").alias(f"{k}_found") for k in found],
+            F.sum("scrape_time_seconds").alias("seconds"), F.count("scrape_time_seconds").alias("timed"),
         )
     )
+    return per.groupBy("hour").agg(
+        *[F.sum(c).alias(c) for c in ("rows_processed", "success_count", "failed_count", *[f"{k}_found" for k in found])],
+        round_as_decimal(F.sum("seconds") / F.nullif(F.sum("timed"), F.lit(0)), 2).alias("avg_time"),
+        F.count("last_scrape_server").alias("active_servers"),
+    )
 
 
 def hourly_rollup(contacts: DataFrame, as_of: str = AS_OF, interval: str = "7 DAYS") -> DataFrame:
@@ -164,7 +178,7 @@ def overview(results: DataFrame, contacts: DataFrame, servers: DataFrame, as_of:
 def pending_links(results: DataFrame, contacts: DataFrame) -> DataFrame:
     """Source rows without a contact row of their link (a null link has none)."""
     source = results.select("id", F.get_json_object("data", "$.link").alias("link"))
-    return source.join(contacts.select(F.col("source_link").alias("link")).distinct(), "link", "left_anti")
+    return source.join(contacts.select(F.col("source_link").alias("link")), "link", "left_anti")
 
 
 def server_status(servers: DataFrame, as_of: str = AS_OF) -> DataFrame:

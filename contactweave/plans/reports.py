@@ -9,6 +9,7 @@ from contactweave.functions.common import partition_key
 from contactweave.operators import dashboard, merging
 from contactweave.plans.registry import Registry
 from contactweave.session import AS_OF, table
+from contactweave.sources import readers
 
 R = Registry()
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -47,7 +48,7 @@ _PENDING = f"SELECT id, {_LINK} AS link FROM results r WHERE NOT EXISTS (SELECT
 
 def _valid(df: DataFrame) -> DataFrame:
     """Rows of the JSON source whose document parses as a whole."""
-    return df.filter(F.try_parse_json("data").isNotNull())
+    return readers.parsable(df)
 
 
 @R.add(
@@ -195,7 +196,7 @@ def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def completed_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _valid(table(spark, sf_dir, "results")).select("id", F.get_json_object("data", "$.link").alias("link"))
-    return source.join(table(spark, sf_dir, "zen_contacts").select(F.col("source_link").alias("link")).distinct(), "link", "left_semi").select("id", "link")
+    return source.join(table(spark, sf_dir, "zen_contacts").select(F.col("source_link").alias("link")), "link", "left_semi").select("id", "link")
 
 
 @R.add(

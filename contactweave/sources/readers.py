@@ -52,6 +52,17 @@ def is_readable_csv(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def parsable(df: DataFrame, col: str = "data") -> DataFrame:
+    """Rows whose JSON parses as a whole: one value that ends where the text ends.
+
+    The parsers stop after the first value, so text behind it must be ruled out: an object ends
+    with its brace, any other value holds no comma outside quotes and brackets.
+    """
+    t = F.trim(F.regexp_replace(col, r"^\s+|\s+$", ""))
+    closed = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]")) | t.rlike(r'^(?:null|true|false|-?\d[\d.eE+\-]*|"(?:[^"\\]|\\.)*")$')
+    return df.filter(F.try_parse_json(col).isNotNull() & closed)
+
+
 RESULT_FIELDS = {
     "link": "string", "web_site": "string", "title": "string", "phone": "string", "category": "string", "address": "string", "latitude": "double",
     "longtitude": "double", "longitude": "double", "review_count": "int", "review_rating": "double", "domain": "string", "cid": "string",
