@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Delimiters (fixed values). Hard ones never occur inside a value; soft ones may.
-HARD = r"\|\||[;|\t\n\r•]"
-SOFT_CATEGORY = r"\s*,\s*|\s+/\s+|\s+&\s+|\s+-\s+|/"
+HARD = r"\|\||[;|\t\n\r•·]"
+SOFT_CATEGORY = r"\s*,\s*|\s+/\s+|\s+(?:&|-|(?i:and|or|und|oder))\s+|/"
+#: Soft ones that join words inside a value as often as values; they cut only between known values.
+WEAK = r"\s+(?:&|-|(?i:and|or|und|oder))\s+"
 SOFT_CONTACT = r"\s*,\s*|\s*/\s*|\s+&\s+|\s+(?i:and|or|und|et|y|e|o|ou|oder)\s+|\s+"
 
 EMAIL_SHAPE = re.compile(r"[^\s@,;|/<>\"']+@[^\s@,;|/<>\"']+\.[^\s@,;|/<>\"'.]{2,}")
@@ -61,6 +63,7 @@ class Segmenter:
     def __init__(self, soft: str, known: Sequence[str] = (), shape=None):
         self.cut = re.compile(rf"\s*(?:{HARD})\s*|{soft}")
         self.hard = re.compile(HARD)
+        self.weak = re.compile(WEAK)
         self.shape = shape
         self.known = frozenset(known)
         self.automaton = None
@@ -163,7 +166,8 @@ class Segmenter:
         if v.lower() in self.known:
             return COST_KNOWN
         if self.shape is None:
-            return COST_SHAPE if not self.cut.search(v) else COST_OTHER if v == segment.strip() else COST_SHAPE
+            plain = v != segment.strip() or not self.cut.search(self.weak.sub("_", v))
+            return COST_SHAPE if plain else COST_OTHER
         return COST_SHAPE if self.shape(v) else COST_OTHER
 
 
@@ -214,7 +218,7 @@ def segment_udf(soft: str, known: Sequence[str] = (), shape=None):
     return run.asNondeterministic()
 
 
-_MAYBE_PACKED = r"[;,|/&\t\n\r•]|\S\s+\S"
+_MAYBE_PACKED = r"[;,|/&\t\n\r•·]|\S\s+\S"
 
 
 def packed_values(

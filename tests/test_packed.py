@@ -15,6 +15,8 @@ def test_categories():
     assert cats("'bakery';hotel;;bakery ") == ["bakery", "hotel", "bakery"]
     assert cats("Wholesale - paper goods | Children's club") == ["Wholesale - paper goods", "Children's club"]
     assert cats("bakery\nnew trade") == ["bakery", "new trade"]
+    assert cats("bakery and hotel") == ["bakery", "hotel"] and cats("Food and drink hall") == ["Food and drink hall"]
+    assert cats("Tea & cake, hotel") == ["Tea & cake", "hotel"]
     assert cats(None) == [] and cats("") == [] and cats(" ; ") == [] and cats("[]") == []
 
 
