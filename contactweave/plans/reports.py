@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.functions.common import partition_key
+from contactweave.functions.common import partition_key, round_as_decimal
 from contactweave.operators import dashboard, merging
 from contactweave.plans.registry import Registry
 from contactweave.session import AS_OF, table
@@ -340,8 +340,6 @@ def country_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
  {_r('avg(load_seconds)', 3)} AS avg_seconds, count(fetch_error) AS errors FROM pages GROUP BY 1""",
 )
 def fetch_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from contactweave.functions.common import round_as_decimal
-
     return table(spark, sf_dir, "pages").groupBy("status_code").agg(
         F.count("*").alias("n"), F.count(F.when(F.length("html") > 0, 1)).alias("with_html"), round_as_decimal(F.avg("load_seconds"), 3).alias("avg_seconds"),
         F.count("fetch_error").alias("errors"),
