@@ -366,7 +366,7 @@ def whatsapp_check(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHERE j IS NOT NULL AND trim(coalesce(j->>'$.link', '')) <> '' AND trim(coalesce(j->>'$.web_site', '')) <> ''""",
 )
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readers.parse_results(readers.parsable(table(spark, sf_dir, "results")))
+    rows = readers.parse_results(table(spark, sf_dir, "results"))
     return rows.select("result_id", "link", "url", "title", "country", "longitude")
 
 

@@ -53,14 +53,13 @@ def is_readable_csv(spark: SparkSession, path: str) -> bool:
 
 
 def parsable(df: DataFrame, col: str = "data") -> DataFrame:
-    """Rows whose JSON parses as a whole: one value that ends where the text ends.
+    """Rows whose JSON parses as a whole: one value and nothing behind it.
 
-    The parsers stop after the first value, so text behind it must be ruled out: an object ends
-    with its brace, any other value holds no comma outside quotes and brackets.
+    The parsers stop after the first value; as the only element of an array, anything behind it
+    breaks the array or makes it longer.
     """
-    t = F.trim(F.regexp_replace(col, r"^\s+|\s+$", ""))
-    closed = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]")) | t.rlike(r'^(?:null|true|false|-?\d[\d.eE+\-]*|"(?:[^"\\]|\\.)*")$')
-    return df.filter(F.try_parse_json(col).isNotNull() & closed)
+    whole = F.json_array_length(F.concat(F.lit("["), F.col(col), F.lit("]"))) == 1
+    return df.filter(F.try_parse_json(col).isNotNull() & whole)
 
 
 RESULT_FIELDS = {
@@ -77,9 +76,9 @@ def parse_results(results: DataFrame) -> DataFrame:
     case, XX without one.
     """
     schema = ", ".join(f"{k} {t}" for k, t in RESULT_FIELDS.items())
-    schema += ", complete_address struct<borough:string,street:string,city:string,postal_code:string,state:string,country:string>, _bad string"
-    j = F.from_json("data", schema, {"columnNameOfCorruptRecord": "_bad"})
-    d = results.select("id", j.alias("d")).filter(F.col("d._bad").isNull())
+    schema += ", complete_address struct<borough:string,street:string,city:string,postal_code:string,state:string,country:string>"
+    j = F.from_json("data", schema)
+    d = parsable(results).select("id", j.alias("d"))
     return d.select(
         F.col("id").alias("result_id"),
         blank_to_null(F.col("d.link")).alias("link"),
