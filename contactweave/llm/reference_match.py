@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from contactweave.llm.folding import fold
 from contactweave.session import bounded_rows
+from contactweave.sources.readers import parsable
 
 UNMATCHED = "UNMATCHED"
 MAX_REFERENCE = 100_000
@@ -299,16 +300,13 @@ def town_udf(towns: list[tuple], countries: list[tuple]):
 #: Part of the JSON of the source table that the address operators read.
 ADDRESS_SCHEMA = (
     "complete_address struct<borough:string,street:string,city:string,postal_code:string,state:string,country:string>,"
-    " title string, address string, _corrupt string"
+    " title string, address string"
 )
 
 
 def parsed_results(results: DataFrame) -> DataFrame:
     """`id` and the parsed `data` of records whose JSON parses as a whole; others are left out."""
-    j = F.from_json("data", ADDRESS_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
-    return results.select("id", "data", j.alias("j")).filter(
-        F.col("data").isNotNull() & F.col("j._corrupt").isNull() & F.try_parse_json("data").isNotNull()
-    ).drop("data")
+    return parsable(results).select("id", F.from_json("data", ADDRESS_SCHEMA).alias("j"))
 
 
 def map_towns(results: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> DataFrame:
