@@ -29,8 +29,8 @@ def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame
     ensure_checkpoint_dir(nodes.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = both.checkpoint()
-    touched = both.select(F.col("a").alias("id")).distinct()
-    labels = touched.select("id", F.col("id").alias("root")).checkpoint()
+    # the first round needs no join: every node takes its smallest neighbour
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("root")).checkpoint()
     for _ in range(rounds):
         offered = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         stepped = labels.join(offered, "id", "left").select(
