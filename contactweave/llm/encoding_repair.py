@@ -84,6 +84,7 @@ def _follows(c: str) -> bool:
 
 
 _OPENS = {"”": "“", "’": "‘", "»": "«"}
+_OPENERS = "‘«‹„‚"
 
 
 def _closes(text: str, i: int) -> bool:
@@ -110,6 +111,10 @@ def garble_cost(text: str) -> int:
             cost += 2
         if ord(prev) >= 0xC2 and _lead(prev) and _follows(c) and not _closes(text, i):
             cost += 2
+        if "\ufb00" <= c <= "\ufb06":
+            cost += 2  # a printer's ligature, which no one types
+        if c in _OPENERS and (i == 0 or prev == " ") and text[i + 1 : i + 2].islower() and not any(x in text[i:] for x in _OPENS):
+            cost += 1  # a quote that opens inside a word and never closes
         if c in "…—" and (i == 0 or prev == " ") and text[i + 1 : i + 2].isalpha():
             cost += 1  # a sign for a word's first letter
         if ord(c) > 127 and c.islower() and (i == 0 or prev == " "):
