@@ -4,13 +4,16 @@ Per page, SQL windows rank its words by frequency and a line is fitted to ln f o
 the residual around it and its extent (ranks per word, 1 when no word repeats). The page's language
 is the one whose prose it diverges from least; the divergence is the mean surprise of its words,
 -ln of the share of that language's distinct texts that hold the word, with one floor for rare
-words. A page that diverges from prose is flagged when its curve is too steep, too far from a
-line, or when extent, share of the language's function words and slope together stay below what
-prose of any length has: prose repeats function words, so short pages have a high extent and long
-ones many function words, while stuffed pages have neither.
-
-Statistics cover all texts, repeated texts counting once, so that copies of one page can't become
-the norm. Each distinct text is shuffled by its key once per pass; ranking and fitting need no
+words. A page is flagged by itself when its curve is far too steep for its length or far from a
+line. A page that diverges from prose is flagged when its curve is too steep, too far from a line,
+or when extent, share of the language's function words and slope together stay below what prose of
+any length has: prose repeats function words, so short pages have a high extent and long ones many
+function words, while stuffed pages have neither.
+Divergence alone flags nothing, as prose on a rare subject diverges as much.
+
+The word model is counted over prose only (`prose_like`), repeated texts counting once, so that neither
+copies of one page nor variants of one keyword list can become the norm; every text is then judged
+by it. Each distinct text is shuffled by its key once per pass; ranking and fitting need no
 further shuffle. The word model keeps words held by at least `min_share` of a language's texts,
 which bounds it by (mean distinct words) / `min_share`; it is broadcast only below `max_model` rows
 and joined by a shuffle beyond.
@@ -38,6 +41,17 @@ FUNCTION_WEIGHT = 0.9
 SLOPE_WEIGHT = 0.5
 MIN_SLOPE = -0.85
 MAX_RESIDUAL = 0.45
+#: Curves that flag by themselves, from so many words on (prose of few set phrases comes to -0.89 and 0.44); beyond
+#: LONG words prose steepens by SLOPE_DRIFT per ln of length.
+ALONE_SLOPE = -1.0
+ALONE_RESIDUAL = 0.55
+ALONE_WORDS = 32
+LONG = 400
+SLOPE_DRIFT = 0.08
+#: Texts are compared over so many first words, in bands of doubling length, when prose is told from the rest.
+COMPARED = 128
+VARIED_SHARE = 0.25
+MIN_HELD = 0.5
 MAX_MODEL = 500_000
 MAX_LANGUAGES = 400
 
@@ -61,6 +75,38 @@ def word_model(texts: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     )
 
 
+def prose_like(texts: DataFrame) -> DataFrame:
+    """The distinct texts (key, lang, text) of a known language that vary their words as its prose does.
+
+    Texts are compared with those of their language and length, over the first `COMPARED` words. The
+    most varied quarter shows the language's function words; prose has at least `MIN_HELD` times as many
+    different ones a word as that quarter's median. A list of keywords has few, in whatever number
+    its variants come, as long as a quarter of a length band isn't made of the most varied lists.
+    """
+    first = F.slice(_words(F.col("text")), 1, COMPARED)
+    heads = (
+        texts.filter(F.col("lang").isNotNull())
+        .select("key", "lang", "text", F.size(first).alias("n"), F.array_distinct(first).alias("types"))
+        .filter("n > 0")
+        .withColumn("band", F.floor(F.log2("n")))
+        .withColumn("extent", F.size("types") / F.col("n"))
+    )
+    least = heads.groupBy("lang", "band").agg(F.percentile_approx("extent", 1 - VARIED_SHARE, 1000).alias("least"))
+    varied = heads.join(F.broadcast(least), ["lang", "band"]).filter("extent >= least")
+    sizes = varied.groupBy("lang").agg(F.count("*").alias("texts"))
+    function_words = (
+        varied.select("lang", F.explode("types").alias("word")).groupBy("lang", "word").count()
+        .join(F.broadcast(sizes), "lang")
+        .filter(F.col("count") > FUNCTION_SHARE * F.col("texts"))
+        .groupBy("lang").agg(F.collect_set("word").alias("function_words"))
+    ).checkpoint()
+    with_held = lambda df: df.join(F.broadcast(function_words), "lang", "left").withColumn(
+        "held", F.coalesce(F.size(F.array_intersect("types", "function_words")), F.lit(0)) / F.col("n")
+    )
+    usual = with_held(varied).groupBy("lang", "band").agg(F.percentile_approx("held", 0.5, 1000).alias("usual")).checkpoint()
+    return with_held(heads).join(F.broadcast(usual), ["lang", "band"]).filter(F.col("held") >= MIN_HELD * F.col("usual")).select("key", "lang", "text")
+
+
 def page_features(documents: DataFrame) -> DataFrame:
     """Per distinct text: key, n, types, slope, residual, extent, language, divergence, function_share."""
     ensure_checkpoint_dir(documents.sparkSession)
@@ -70,7 +116,7 @@ def page_features(documents: DataFrame) -> DataFrame:
         .groupBy("key")
         .agg(F.first("text").alias("text"), F.min("lang").alias("lang"))
     )
-    model = word_model(texts).checkpoint()
+    model = word_model(prose_like(texts)).checkpoint()
     languages = [
         r[0] for r in bounded_rows(model.select(F.explode(F.map_keys("surprise")).alias("l")).distinct(), MAX_LANGUAGES, "languages")
     ]
@@ -115,7 +161,9 @@ def flagged(features: DataFrame) -> DataFrame:
         | (F.col("residual") >= MAX_RESIDUAL)
         | (F.col("extent") + FUNCTION_WEIGHT * F.col("function_share") + SLOPE_WEIGHT * F.greatest("slope", F.lit(-1.0)) < MIN_EVENNESS)
     )
-    return features.withColumn("stuffed", (F.col("divergence") >= MAX_DIVERGENCE) & curve)
+    steep = F.col("slope") <= ALONE_SLOPE - SLOPE_DRIFT * F.greatest(F.log(F.col("n") / LONG), F.lit(0.0))
+    alone = (F.col("n") >= ALONE_WORDS) & (steep | (F.col("residual") >= ALONE_RESIDUAL))
+    return features.withColumn("stuffed", alone | ((F.col("divergence") >= MAX_DIVERGENCE) & curve))
 
 
 def stuffed_documents(documents: DataFrame) -> DataFrame:

@@ -1,0 +1,26 @@
+import random
+
+from contactweave.llm import stuffing
+
+
+# ------------------------------------------------------------------ problem 10
+def test_variants_of_one_list_stay_stuffed(spark):
+    rng = random.Random(7)
+    small = "the a of and to in is was we they it on for with at by from that this our you".split()
+    # prose: half function words, half words of a wide vocabulary
+    prose = [(i, "en", " ".join(rng.choice(small) if rng.random() < 0.5 else f"p{chr(97 + i % 26)}{rng.randrange(900)}x" for _ in range(rng.choice((40, 90, 120))))) for i in range(120)]
+    # one source's keyword list in other orders with another word each, a third of all texts
+    keys = ("cheap boiler repair discount driving lessons flower delivery near best price " * 5).split() + [f"town{i}q" for i in range(12)]
+    spam = []
+    for i in range(60):
+        words = rng.sample(keys, len(keys))
+        words[rng.randrange(len(words))] = f"other{i}z"
+        spam.append((1000 + i, "en", " ".join(words)))
+    df = spark.createDataFrame([*prose, *spam], "doc_id long, lang string, text string")
+    assert {r["doc_id"] for r in stuffing.stuffed_documents(df).collect()} == {i for i, _, _ in spam}
+
+
+def test_extreme_curve_flags_by_itself_at_its_length(spark):
+    rows = [(1, 100, -1.1, 0.2, 0.8, 0.6, 1.0), (2, 100, -0.5, 0.6, 0.8, 0.6, 1.0), (3, 100, -0.5, 0.2, 0.8, 0.6, 4.0), (4, 20_000, -1.1, 0.2, 0.1, 0.6, 1.0), (5, 5, -1.0, 0.0, 0.8, 0.6, 1.0), (6, 100, -0.5, 0.2, 0.4, 0.1, 2.5)]
+    df = spark.createDataFrame(rows, "id long, n long, slope double, residual double, extent double, function_share double, divergence double")
+    assert {r["id"] for r in stuffing.flagged(df).filter("stuffed").collect()} == {1, 2, 6}
