@@ -76,13 +76,11 @@ def _keys_udf(fn, ladder):
     return run.asNondeterministic()
 
 
-def similar_pairs(nodes: DataFrame, probes: DataFrame | None = None, ladder=LADDER, primary: DataFrame | None = None) -> DataFrame:
+def similar_pairs(nodes: DataFrame, probes: DataFrame | None = None, ladder=LADDER) -> DataFrame:
     """Pairs (block, a, b) of different strings within the ladder's distance; a is not longer than b.
 
     `nodes`: distinct (block, text). With `probes` (distinct block, text), only pairs of a probe
-    and a node, as (block, a = node, b = probe), in either order of length. With `primary`, a subset
-    of the nodes, only these look others up: enough where every other node is a rearrangement of
-    a primary one and as long, and half the lookups. Null or empty texts match nothing.
+    and a node, as (block, a = node, b = probe), in either order of length. Null or empty texts match nothing.
     """
     both = probes is not None
     nodes = nodes.filter(F.length("text") > 0)
@@ -94,7 +92,7 @@ def similar_pairs(nodes: DataFrame, probes: DataFrame | None = None, ladder=LADD
 
     def join(short: DataFrame, long: DataFrame, short_name: str, long_name: str) -> DataFrame:
         a, b = F.col(short_name), F.col(long_name)
-        order = (a < b) if not both and primary is None else (a != b)
+        order = (a < b) if not both else (a != b)
         cond = F.when(F.length(a) == F.length(b), order).otherwise(F.length(a) < F.length(b))
         top = max(k for _, k in ladder)
         return (
@@ -107,5 +105,5 @@ def similar_pairs(nodes: DataFrame, probes: DataFrame | None = None, ladder=LADD
         )
 
     if not both:
-        return join(nodes, nodes if primary is None else primary, "a", "b")
+        return join(nodes, nodes, "a", "b")
     return join(nodes, probes, "a", "b").unionByName(join(probes, nodes, "b", "a")).distinct()

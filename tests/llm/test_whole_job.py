@@ -1,6 +1,6 @@
 import random
 
-from contactweave.llm import stuffing
+from contactweave.llm import org_names, places, stuffing
 
 
 # ------------------------------------------------------------------ problem 10
@@ -24,3 +24,19 @@ def test_extreme_curve_flags_by_itself_at_its_length(spark):
     rows = [(1, 100, -1.1, 0.2, 0.8, 0.6, 1.0), (2, 100, -0.5, 0.6, 0.8, 0.6, 1.0), (3, 100, -0.5, 0.2, 0.8, 0.6, 4.0), (4, 20_000, -1.1, 0.2, 0.1, 0.6, 1.0), (5, 5, -1.0, 0.0, 0.8, 0.6, 1.0), (6, 100, -0.5, 0.2, 0.4, 0.1, 2.5)]
     df = spark.createDataFrame(rows, "id long, n long, slope double, residual double, extent double, function_share double, divergence double")
     assert {r["id"] for r in stuffing.flagged(df).filter("stuffed").collect()} == {1, 2, 6}
+
+
+# ------------------------------------------------------------------ problem 4
+LISTING = "listing_id long, name string, street string, city string, country_code string, google_business_categories string, phone_number string, url string, email string"
+
+
+def _linked(spark, rows):
+    city = spark.createDataFrame([("T1", "Saint Novbri", None, "DE"), ("T2", "Golzeldun", "Zelnilsøl", "DE")], "city_key string, city_name string, alt_name string, country_code string")
+    country = spark.createDataFrame([("DE", "Germany", "DEU", "Deutschland")], "country_code string, country_name string, iso3 string, native_name string")
+    df = spark.createDataFrame([(i, n, None, c, "DE", None, phone, None, None) for i, n, c, phone in rows], LISTING)
+    return {tuple(r) for r in places.class_pairs(org_names.organisations(df, city, country), "listing_id", "org", "name").collect()}
+
+
+def test_glued_name_meets_the_longer_form_of_another(spark):
+    rows = [(1, "Bernovhamtipmar Bakery", "Golzeldun", None), (2, "Hamtipmar, Bernnov Bakery", "Golzeldun", None)]
+    assert _linked(spark, rows) == {(1, 2)}
