@@ -309,11 +309,13 @@ def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: Dat
     # a listing without a town takes that of the listings which share its phone or site and its core
     lost = base.filter(F.col("town") == "")
     marks = F.array_distinct(F.concat(F.transform("phones", lambda p: F.concat(F.lit("p:"), p)), F.array(F.concat(F.lit("h:"), "host"))))
-    lost_marks = lost.select("listing_id", "core", F.explode(marks).alias("block"), F.col("core").alias("text"))
+    spellings = F.explode(F.concat(F.array("core"), "forms"))  # parts in another order count here as in a town
+    lost_marks = lost.select("listing_id", F.explode(marks).alias("block"), "core", "forms").select("listing_id", "block", spellings.alias("text"))
     lost_nodes = lost_marks.select("block", "text").distinct()
     known_nodes = (
         base.filter(F.col("town") != "")
-        .select("town", F.col("core").alias("text"), F.explode(marks).alias("block"))
+        .select("town", "core", "forms", F.explode(marks).alias("block"))
+        .select("town", "block", spellings.alias("text"))
         .join(lost_nodes.select("block").distinct(), "block", "left_semi")
         .distinct()
     )
@@ -329,14 +331,16 @@ def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: Dat
         streets.limit(0).select(F.lit("").alias("street_id"), F.lit("").alias("house")),
         city_ref,
     ).filter("as_town IS NOT NULL").select(F.col("rec_id").alias("listing_id"), F.col("as_town").alias("street_town"))
-    in_land = known.join(city_ref.select(F.col("city_key").alias("town"), F.col("country_code").alias("block")), "town").select("block", F.col("core").alias("a"), "town").distinct()
-    lost_cores = lost.select(F.col("country").alias("block"), F.col("core").alias("text")).distinct()
+    in_land = known.join(city_ref.select(F.col("city_key").alias("town"), F.col("country_code").alias("block")), "town").select("block", spellings.alias("a"), "town").distinct()
+    lost_forms = lost.select(F.col("country").alias("block"), "core", spellings.alias("text")).distinct()
+    lost_cores = lost_forms.select("block", "text").distinct()
     alike = similar_pairs(in_land.select("block", F.col("a").alias("text")).distinct(), lost_cores).unionByName(
         lost_cores.select("block", F.col("text").alias("a"), F.col("text").alias("b"))
     )
     exact = (
         alike.join(in_land, ["block", "a"])
-        .groupBy(F.col("block").alias("country"), F.col("b").alias("core"))
+        .join(lost_forms.withColumnRenamed("text", "b"), ["block", "b"])
+        .groupBy(F.col("block").alias("country"), "core")
         .agg(F.countDistinct("town").alias("n"), F.min("town").alias("exact_town"))
         .filter("n = 1").select("country", "core", "exact_town")
     )

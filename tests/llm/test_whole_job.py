@@ -40,3 +40,8 @@ def _linked(spark, rows):
 def test_glued_name_meets_the_longer_form_of_another(spark):
     rows = [(1, "Bernovhamtipmar Bakery", "Golzeldun", None), (2, "Hamtipmar, Bernnov Bakery", "Golzeldun", None)]
     assert _linked(spark, rows) == {(1, 2)}
+
+
+def test_listing_without_town_finds_it_by_parts_in_another_order(spark):
+    rows = [(1, "Bernov Hamtipmar Bakery", "Golzeldun", "+49 555 01234"), (2, "Hamtipmar, Bernov - Bakery", None, "+49 555 01234"), (3, "Wixcal Novwenpel Bakery", "Golzeldun", None), (4, "Novwenpel Wixcal Bakery", None, None)]
+    assert _linked(spark, rows) == {(1, 2), (3, 4)}
