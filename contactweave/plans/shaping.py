@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactweave.functions.common import join_list
@@ -59,6 +59,19 @@ def wide_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("listing_id", *postprocess.validated_columns(text, "v", 2))
 
 
+def checked_text(validated: Column) -> Column:
+    """'address (valid); address (invalid)' of the JSON object of checked addresses, in its order; null stays null."""
+    items = F.map_entries(F.from_json(validated, "map<string, struct<valid: boolean, confidence: string>>"))
+    status = lambda v: F.when(v["valid"], "valid").when(~v["valid"], "invalid").otherwise("unknown")
+    return F.array_join(F.transform(items, lambda x: F.concat(x["key"], F.lit(" ("), status(x["value"]), F.lit(")"))), "; ")
+
+
+@R.add("wide_validated_all")
+def wide_validated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = table(spark, sf_dir, "zen_contacts")
+    return z.select("id", *postprocess.validated_columns(checked_text(F.col("emails_validated")), "v", 10))
+
+
 @R.add("dedupe_first", "SELECT listing_id, name, street FROM (SELECT *, row_number() OVER (PARTITION BY name, street ORDER BY listing_id) AS k FROM sample_input) WHERE k = 1")
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "sample_input").select("listing_id", "name", "street")
