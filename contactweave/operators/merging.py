@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactweave.functions.common import merge_arrays, partition_key
-from contactweave.session import AS_OF
+from contactweave.session import AS_OF, ensure_checkpoint_dir
 
 ARRAYS = ("emails", "phones", "whatsapp")
 SOCIALS = ("social_facebook", "social_instagram", "social_tiktok", "social_youtube")
@@ -23,31 +23,80 @@ def latest_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(top).select(key, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
+def _order_of(df: DataFrame) -> list[str]:
+    """Columns that tell which of several rows of one link is the later one."""
+    return [c for c in ("last_scrape_at", "updated_at", "id") if c in df.columns] or [c for c in df.columns if not dict(df.dtypes)[c].startswith("map")]
+
+
 def upsert(old: DataFrame, new: DataFrame, as_of: str = AS_OF, clean: bool = True) -> DataFrame:
-    """Merged contact rows by `source_link`; `new` holds each link once.
+    """Merged contact rows by `source_link` with every column of `old`.
 
-    Arrays are united (`clean` drops nulls and ''), counts recomputed, socials kept unless the new
-    row has one, scrape columns overwritten, `scrape_count` raised. Rows of either side alone stay.
+    Arrays are united (`clean` drops nulls and ''), counts and `has_` flags recomputed, socials kept
+    unless the new row has one, scrape columns overwritten, `scrape_count` raised. Any other column
+    keeps the value of `old`; a link that `old` lacks comes in whole, columns that `new` lacks being
+    null. Rows of `old` alone stay as they are. Of several rows of one link in `new`, the latest counts
+    (last_scrape_at, updated_at, id). Null links are left out of `new`.
     """
     key = "source_link"
-    n = new.select(key, *[F.col(c).alias(f"n_{c}") for c in (*ARRAYS, *SOCIALS, *OVERWRITTEN)], F.lit(True).alias("n_here"))
-    o = old.select(key, *ARRAYS, *SOCIALS, *OVERWRITTEN, "scrape_count", "updated_at", F.lit(True).alias("o_here"))
-    j = o.join(n, key, "full_outer")
-    fresh = F.col("n_here").isNotNull()
+    new = latest_per_key(new.filter(F.col(key).isNotNull()), key, _order_of(new))
+    kinds = dict(old.dtypes)
+    names = [c for c in old.columns if c != key]
+    n = new.select(key, *[(F.col(f"`{c}`") if c in new.columns else F.lit(None).cast(kinds[c])).alias(f"n_{c}") for c in names], F.lit(True).alias("n_here"))
+    j = old.withColumn("o_here", F.lit(True)).join(n, key, "full_outer")
+    fresh, there = F.col("n_here").isNotNull(), F.col("o_here").isNotNull()
+    none = F.array().cast("array<string>")
     united = lambda c: merge_arrays(F.col(c), F.col(f"n_{c}")) if clean else F.array_distinct(
-        F.concat(F.coalesce(c, F.array().cast("array<string>")), F.coalesce(f"n_{c}", F.array().cast("array<string>")))
+        F.concat(F.coalesce(c, none), F.coalesce(f"n_{c}", none))
     )
-    arrays = [F.when(fresh, united(c)).otherwise(F.col(c)).alias(c) for c in ARRAYS]
-    return j.select(
-        key,
-        partition_key(F.col(key)).alias("partition_key"),
-        *arrays,
-        *[F.when(fresh, F.size(united(c))).otherwise(F.coalesce(F.size(c), F.lit(0))).alias(f"{c}_count") for c in ARRAYS],
-        *[F.coalesce(f"n_{c}", c).alias(c) for c in SOCIALS],
-        *[F.when(fresh, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in OVERWRITTEN],
-        (F.coalesce("scrape_count", F.lit(0)) + F.when(fresh, 1).otherwise(0)).cast("int").alias("scrape_count"),
-        F.when(fresh, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("updated_at")).alias("updated_at"),
+    size = lambda c: F.when(fresh, F.size(united(c))).otherwise(F.coalesce(F.size(c), F.lit(0)))
+    flags = {"has_email": "emails", "has_phone": "phones", "has_whatsapp": "whatsapp"}
+    values = {c: F.when(there, F.col(c)).otherwise(F.col(f"n_{c}")) for c in names}
+    values |= {c: F.when(fresh, united(c)).otherwise(F.col(c)) for c in ARRAYS}
+    values |= {f"{c}_count": size(c) for c in ARRAYS}
+    values |= {f: size(c) > 0 for f, c in flags.items() if f in names}
+    values |= {c: F.coalesce(f"n_{c}", c) for c in SOCIALS}
+    values |= {c: F.when(fresh, F.col(f"n_{c}")).otherwise(F.col(c)) for c in OVERWRITTEN}
+    values["scrape_count"] = (F.coalesce("scrape_count", F.lit(0)) + F.when(fresh, 1).otherwise(0)).cast("int")
+    values |= {c: F.when(fresh, F.lit(as_of).cast(kinds[c])).otherwise(F.col(c)) for c in ("updated_at", "last_scrape_at") if c in names}
+    values["partition_key"] = partition_key(F.col(key))
+    order = [key, *dict.fromkeys([*names, "partition_key", *(f"{c}_count" for c in ARRAYS)])]
+    return j.select(*[F.col(key) if c == key else values[c].alias(c) for c in order])
+
+
+def fold_generations(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row per `source_link` as if its rows had been merged one after the other by `order`.
+
+    Arrays are united in that order, socials take the last one given, scrape columns the last row's,
+    `scrape_count` grows by one per later row, every other column is the first row's. Scalars are reduced
+    before the shuffle; array items pass as distinct (link, item), so a hot link collects distinct items only.
+    """
+    key = "source_link"
+    rows = rows.filter(F.col(key).isNotNull())
+    at = F.struct(*order)
+    special = {*ARRAYS, *SOCIALS, *OVERWRITTEN, *(f"{c}_count" for c in ARRAYS), "scrape_count", key}
+    rest = [c for c in rows.columns if c not in special]
+    base = rows.groupBy(key).agg(
+        F.min_by(F.struct(*rest), at).alias("__f"), F.max_by(F.struct(*OVERWRITTEN), at).alias("__l"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in SOCIALS],
+        (F.coalesce(F.min_by("scrape_count", at), F.lit(0)) + F.count("*") - 1).cast("int").alias("scrape_count"),
     )
+    none = F.array().cast("array<string>")
+
+    def placed(c: str) -> Column:
+        return F.transform(F.coalesce(c, none), lambda x, i: F.struct(F.lit(c).alias("kind"), x.alias("item"), i.alias("pos")))
+
+    items = F.concat(*[placed(c) for c in ARRAYS])
+    firsts = (
+        rows.select(key, at.alias("__at"), F.explode(items).alias("x")).filter(F.coalesce(F.col("x.item"), F.lit("")) != "")
+        .groupBy(key, "x.kind", "x.item").agg(F.min(F.struct("__at", "x.pos")).alias("__first"))
+    )
+    lists = firsts.groupBy(key).agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("__first", "item")))), lambda x: x["item"]).alias(c) for c in ARRAYS
+    ])
+    j = base.join(lists, key, "left")
+    out = {c: F.col(f"__f.{c}") for c in rest} | {c: F.coalesce(c, none) for c in ARRAYS} | {f"{c}_count": F.coalesce(F.size(c), F.lit(0)) for c in ARRAYS}
+    out |= {c: F.col(c) for c in (*SOCIALS, "scrape_count", key)} | {c: F.col(f"__l.{c}") for c in OVERWRITTEN}
+    return j.select(*[out[c].alias(c) for c in rows.columns])
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,8 +139,7 @@ def union_common(parts: Sequence[DataFrame]) -> DataFrame:
 def even_split(df: DataFrame, parts: int, order: Sequence[str]) -> DataFrame:
     """`part` from 1: sizes differ by one at most, the first parts are the longer ones.
 
-    Row numbers come from per-partition counts over a range partitioning, not from one global
-    window task.
+    Row numbers come from offsets of written range partitions, not from one global window task.
     """
     numbered = row_numbers(df, order)
     n = numbered.agg(F.count("*").alias("__n"))
@@ -107,10 +155,20 @@ def fixed_split(df: DataFrame, rows: int, order: Sequence[str]) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
-    """Global row number by `order` (unique): range partitions, local numbers, offsets of one row a partition."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__l", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = local.groupBy("__p").agg(F.count("*").alias("__c"))
-    # one row per partition: the window over them is as small as the number of tasks
-    offsets = sizes.withColumn("__o", F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__o", F.lit(0)).alias("__o"))
-    return local.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__l") + F.col("__o")).drop("__p", "__l", "__o")
+    """Rows with their global number by `order`, ties in the order of the input.
+
+    The rows are ranged, sorted and written once (checkpoint() in the session's folder), so that their
+    partitions can't change any more; the place in its partition then is a row's number but for the
+    partition's offset, of which there is one row a partition. The input's place joins the order, hence
+    a key that a third of all rows share is spread over partitions too. No window, no second shuffle.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.withColumn("__i", F.monotonically_increasing_id())
+    by = [*[F.col(f"`{c}`") for c in order], F.col("__i")]
+    written = placed.repartitionByRange(*by).sortWithinPartitions(*by).drop("__i").withColumn("__m", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__m", 33)
+    sizes = written.groupBy(part.alias("__p")).agg(F.count("*").alias("__c"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
+    local = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return written.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(name, local + F.col("__o") + 1).drop("__p", "__m", "__o")

@@ -259,34 +259,33 @@ def partition_key_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "zen_contacts").select("id", partition_key(F.col("source_link")).alias("pkey"))
 
 
-def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The table's two generations: for links stored twice, the later row is the new one."""
-    c = table(spark, sf_dir, "zen_contacts").filter(F.col("source_link").isNotNull())
-    new = merging.latest_per_key(c, "source_link", ["updated_at", "id"])
-    old = c.join(new.select("id"), "id", "left_anti")
-    return merging.latest_per_key(old, "source_link", ["updated_at", "id"]), new
-
-
-_GEN = """r AS (SELECT *, row_number() OVER (PARTITION BY source_link ORDER BY updated_at DESC, id DESC) AS k FROM zen_contacts WHERE source_link IS NOT NULL),
- n AS (SELECT * FROM r WHERE k = 1), o AS (SELECT * FROM r WHERE k = 2)"""
+_OTHERS = (
+    "source_id business_name business_category business_website country_code country_name city state address postal_code latitude longitude timezone gmaps_phone gmaps_rating "
+    "gmaps_review_count gmaps_price_range gmaps_cid gmaps_status emails_validated whatsapp_validated social_linkedin social_twitter social_count created_at"
+).split()
+_FIRST_BY, _LAST_BY = "ORDER BY updated_at NULLS FIRST, id", "ORDER BY updated_at DESC NULLS LAST, id DESC"
 
 
 def _uni(c: str) -> str:
-    return f"list_sort(list_distinct(list_filter(list_concat(coalesce(o.{c}, []), coalesce(n.{c}, [])), lambda x: x IS NOT NULL AND x <> '')))"
+    return f"list_sort(list_distinct(list_filter(flatten(list(coalesce({c}, []))), lambda x: x IS NOT NULL AND x <> '')))"
 
 
 @R.add(
     "upsert_contacts",
-    f"""WITH {_GEN} SELECT n.source_link, array_to_string({_uni('emails')}, ',') AS emails, len({_uni('emails')})::INTEGER AS emails_count,
- array_to_string({_uni('phones')}, ',') AS phones, coalesce(n.social_facebook, o.social_facebook) AS social_facebook, n.scrape_status,
- (coalesce(o.scrape_count, 0) + 1)::INTEGER AS scrape_count, CAST(CAST('0x' || substr(md5(n.source_link), 1, 8) AS BIGINT) % 32 AS INTEGER) AS partition_key
- FROM n LEFT JOIN o ON n.source_link = o.source_link""",
+    f"""SELECT source_link, {", ".join(f"array_to_string({_uni(c)}, ',') AS {c}, len({_uni(c)})::INTEGER AS {c}_count" for c in merging.ARRAYS)},
+ len({_uni('emails')}) > 0 AS has_email, len({_uni('phones')}) > 0 AS has_phone, len({_uni('whatsapp')}) > 0 AS has_whatsapp,
+ {", ".join(f"first({c} {_LAST_BY}) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in merging.SOCIALS)}, {", ".join(f"first({c} {_LAST_BY}) AS {c}" for c in merging.OVERWRITTEN)},
+ {", ".join(f"first({c} {_FIRST_BY}) AS {c}" for c in _OTHERS)},
+ (CASE WHEN count(*) = 1 THEN 1 ELSE coalesce(first(scrape_count {_FIRST_BY}), 0) + count(*) - 1 END)::INTEGER AS scrape_count, {NOW} AS updated_at, {NOW} AS last_scrape_at,
+ CAST(CAST('0x' || substr(md5(source_link), 1, 8) AS BIGINT) % 32 AS INTEGER) AS partition_key FROM zen_contacts WHERE source_link IS NOT NULL GROUP BY source_link""",
 )
 def upsert_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _old_new(spark, sf_dir)
+    """The latest row of every link merged into the table of all earlier ones."""
+    c = table(spark, sf_dir, "zen_contacts").filter(F.col("source_link").isNotNull())
+    new = merging.latest_per_key(c, "source_link", ["updated_at", "id"])
+    old = merging.fold_generations(c.join(new.select("id"), "id", "left_anti"), ["updated_at", "id"])
     m = merging.upsert(old, new)
-    text = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
-    return m.select("source_link", text("emails"), "emails_count", text("phones"), "social_facebook", "scrape_status", "scrape_count", "partition_key")
+    return m.drop("id").withColumns({a: F.array_join(F.array_sort(a), ",") for a in merging.ARRAYS})
 
 
 @R.add("latest_per_link", "SELECT source_link, id, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY source_link ORDER BY updated_at DESC, id DESC) AS k FROM zen_contacts WHERE source_link IS NOT NULL) WHERE k = 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,23 @@ def build_session(app: str = "contactweave", cores: int | str = "*", partitions:
     return builder.getOrCreate()
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder the session names in spark.checkpoint.dir.
+
+    A folder of this machine is taken only where none is named and everything runs in one process
+    (tests, bench); on a cluster other executors couldn't read it, so there the setting must be given.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(named)
+    elif sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="contactweave-"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a scale directory; column pruning and filters reach this scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,18 +33,25 @@ def write_report(report: DataFrame, path: str) -> str:
 
 
 def write_contacts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Contact table in 32 hash partitions, sorted inside for data skipping on the link."""
+    """Contact table in 32 hash partitions; each is written by many tasks in ranges of the link, sorted for data skipping."""
     out = df.withColumn("partition_key", partition_key(F.col("source_link")))
-    out.repartition("partition_key").sortWithinPartitions("source_link").write.mode(mode).partitionBy("partition_key").parquet(path)
+    by = ("partition_key", "source_link")
+    out.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).partitionBy("partition_key").parquet(path)
 
 
 def merge_into(spark: SparkSession, path: str, new: DataFrame, staged: str) -> None:
-    """Merge `new` into the table at `path`: the result is written to `staged`, then replaces it.
+    """Merge `new` into the table at `path`, every column kept: only partitions that `new` touches are rewritten.
 
-    Reading and overwriting one path in a plan would lose data, hence the two steps.
+    The merged partitions are written to `staged` first, whole, and then swapped in by Spark's dynamic
+    partition overwrite, whose committer moves them when all tasks are done. Reading and overwriting
+    one path in a plan would lose data, hence the two steps.
     """
-    write_contacts(upsert(spark.read.parquet(path), new), staged)
-    spark.read.parquet(staged).write.mode("overwrite").partitionBy("partition_key").parquet(path)
+    old = spark.read.parquet(path)
+    keyed = new.withColumn("partition_key", partition_key(F.col("source_link")))
+    touched = [r[0] for r in keyed.filter("source_link IS NOT NULL").select("partition_key").distinct().collect()]  # at most PARTITIONS numbers
+    write_contacts(upsert(old.filter(F.col("partition_key").isin(touched)), keyed), staged)
+    merged = spark.read.parquet(staged)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_key").parquet(path)
 
 
 def write_parts(df: DataFrame, path: str, columns: Sequence[str], part: str = "part") -> None:
