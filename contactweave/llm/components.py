@@ -2,22 +2,17 @@
 
 Labels and edges stay distributed; only a count comes back to the driver per round. Lineage is
 cut with checkpoint() in the folder the session names in spark.checkpoint.dir, so a lost executor
-costs at most a round. Where no folder is named (tests), a temporary one is set.
+costs at most a round.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactweave.session import ensure_checkpoint_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by the cluster; set one only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="contactweave-"))
+__all__ = ["connected", "ensure_checkpoint_dir"]
 
 
 def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
