@@ -31,7 +31,6 @@ PAIRS = tuple(
 ) + (
     ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"),
 )
-MAX_LAYERS = 4
 _ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
 
 _LOST = re.compile(
@@ -174,11 +173,19 @@ def _pieces(text: str, legacy: str) -> str | None:
     return out if changed else None
 
 
+_LOWER = "".join(chr(o) for o in range(0xDF, 0x250) if chr(o).islower() and o != 0x192)
+_UPPER = "".join(chr(o) for o in range(0xC0, 0x250) if chr(o).isupper())
+#: Text that costs nothing whatever it was read as: accented letters alone among plain ones.
+_PLAIN = re.compile(rf"(?:[\x00-\x7f]|(?<=[a-z])[{_LOWER}](?![^\x00-\x7f])|(?<![^\W\d_])(?<![^\x00-\x7f])[{_UPPER}](?=[a-z]))*+")
+
+
 def repair(text: str, pairs: Sequence[tuple[str, str]] = PAIRS) -> tuple[str, list[str]]:
     """Text as typed, as far as it can be given back, and the layers undone (empty: untouched)."""
+    if text.isascii() or _PLAIN.fullmatch(text):
+        return text, []
     layers: list[str] = []
     cost = garble_cost(text)
-    while len(layers) < MAX_LAYERS and not text.isascii():
+    while not text.isascii():  # every layer shortens the text or lowers its cost, so this ends
         adjacent = _ADJACENT.search(text) is not None
         if not cost and not adjacent:
             break

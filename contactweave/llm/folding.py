@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Letters that canonical decomposition leaves alone (fixed values).
 SPECIAL = {
     "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ğ": "g", "Ğ": "G", "đ": "d", "Đ": "D",
@@ -58,3 +61,14 @@ def damerau(a: str, b: str, limit: int) -> int:
             return big
         before, prev = prev, cur
     return prev[lb]
+
+
+def folded(text: Column) -> Column:
+    """`fold` as a column expression for Latin letters; other scripts are lower-cased only."""
+    letters = [chr(o) for a, b in ((0xC0, 0x250), (0x1E00, 0x1F00)) for o in range(a, b)]
+    plain = {c: fold(c) for c in letters}
+    for c, f in plain.items():
+        if len(f) > 1:
+            text = F.replace(text, F.lit(c), F.lit(f))
+    one = [(c, f) for c, f in plain.items() if len(f) == 1 and f != c]
+    return F.lower(F.translate(text, "".join(c for c, _ in one), "".join(f for _, f in one)))

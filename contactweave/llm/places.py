@@ -1,14 +1,17 @@
 """Same postal address written differently: top-down hierarchy matching (problem 6).
 
 Records are linked level by level: country and town by the reference matcher, street among the
-streets of that town, then house number or building. A level that a record leaves out inherits
-the candidates of the levels below: a record without a town takes the town in which its street
-and number occur, if there is one only. Ambiguity stays explicit (`towns` counts the candidates)
-and links nothing. Units are left out on purpose.
+streets of that town, then kind of street and house number, or building; the unit is kept but makes no other
+place. Spellings of a street form stars around the best supported one, so every spelling lies within
+the edit distance of its representative and streets don't chain; two spellings that both have a good share of
+the houses are two streets. A level that a record leaves out inherits the candidates of the levels below: a
+record without a town takes the town in which its street and number occur, if there is one only, and
+one without a kind of street takes the only kind known there. Ambiguity stays explicit (`towns`, `kinds` count the
+candidates) and links nothing.
 
 Work per level runs on distinct values, so repeated addresses cost nothing; the records
-themselves are shuffled by house, where the class id is, never by town. The only place where a
-hot house multiplies rows is the expansion into pairs that the result asks for.
+themselves are shuffled by house, where the class id is, never by town. Members of a class of
+thousands are paired in blocks, so that no task holds a whole one.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactweave.llm.address_parse import parse
-from contactweave.llm.components import connected, ensure_checkpoint_dir
+from contactweave.llm.components import ensure_checkpoint_dir, stars
 from contactweave.llm.reference_match import Countries, Towns, _Memo, load_countries, load_towns, parsed_results
 from contactweave.llm.segment_join import similar_pairs
 
 _LEVELS = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("town", "country", "street", "kind", "number", "building")]
+    [T.StructField(n, T.StringType()) for n in ("town", "country", "street", "kind", "number", "building", "unit")]
 )
 #: Joins the parts of a node id; never part of a folded value.
 SEP = "|"
@@ -52,7 +55,7 @@ def levels_udf(towns: list[tuple], countries: list[tuple]):
                         if got:
                             town = got
                             break
-                out.append((town, ref.match(k) or "", p.street, p.kind, p.number, p.building))
+                out.append((town, ref.match(k) or "", p.street, p.kind, p.number, p.building, p.unit))
             yield pd.DataFrame(out, columns=_LEVELS.names)
 
     return run.asNondeterministic()
@@ -64,14 +67,23 @@ def levels(records: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> D
     return records.select("rec_id", udf("street", "city", "country").alias("l")).select("rec_id", "l.*")
 
 
-def fuzzy_roots(nodes: DataFrame) -> DataFrame:
-    """(block, text, root): every text with the id of its spelling class inside the block."""
-    ident = F.concat_ws(SEP, "block", "text")
-    pairs = similar_pairs(nodes).select(
-        F.concat_ws(SEP, "block", "a").alias("a"), F.concat_ws(SEP, "block", "b").alias("b")
+#: A spelling with so many houses, and this share of those of another one, is a street of its own; a typing error is rarer.
+OWN_HOUSES, OWN_SHARE = 3, 0.25
+
+
+def spelling_classes(nodes: DataFrame) -> DataFrame:
+    """(block, text, root): every text with the id of its representative inside the block.
+
+    `nodes`: distinct (block, text) with `weight` (records) and `houses` (distinct ones, 1 where that says nothing).
+    """
+    ident = lambda c: F.concat_ws(SEP, "block", c)
+    of = lambda x: nodes.select("block", F.col("text").alias(x), F.col("houses").alias(f"n_{x}"))
+    pairs = (
+        similar_pairs(nodes.select("block", "text")).join(of("a"), ["block", "a"]).join(of("b"), ["block", "b"])
+        .filter(F.least("n_a", "n_b") < F.greatest(F.lit(OWN_HOUSES), OWN_SHARE * F.greatest("n_a", "n_b"))).select(ident("a").alias("a"), ident("b").alias("b"))
     )
-    roots = connected(nodes.select(ident.alias("id")), pairs)
-    return nodes.withColumn("id", ident).join(roots, "id").select("block", "text", "root")
+    roots = stars(nodes.select(ident("text").alias("id"), "weight"), pairs)
+    return nodes.withColumn("id", ident("text")).join(roots, "id", "left").select("block", "text", F.coalesce("root", "id").alias("root"))
 
 
 def house_of():
@@ -80,44 +92,41 @@ def house_of():
 
 
 def inherit_towns(lost: DataFrame, streets: DataFrame, houses: DataFrame, city_ref: DataFrame) -> DataFrame:
-    """rec_id, towns (candidates), as_town and as_id (null unless decided) of records without a town.
+    """street, country, house, towns (candidates), as_town and as_id (null unless decided) of addresses without a town.
 
-    `lost`: (rec_id, street, country, house); `streets`: (town, street, street_id); `houses`:
+    `lost`: (street, country, house) in any number; `streets`: (town, street, street_id); `houses`:
     distinct (street_id, house). Candidates lie in the record's country, where one is given, and hold
-    its street in any spelling. One candidate decides; of several, the only one with the same house.
+    its street in any spelling. One candidate decides; of several, the only one with the same house. Both
+    levels are reduced to a row per distinct address before anything meets the records, so a street
+    name that every town has multiplies no record.
     """
+    keys = ["street", "country", "house"]
+    lost = lost.select(*keys).distinct()
     spelled = lost.select(F.lit("*").alias("block"), F.col("street").alias("text")).distinct()
     everywhere = streets.select(F.lit("*").alias("block"), F.col("street").alias("text")).distinct()
-    near = similar_pairs(everywhere, spelled).select(F.col("b").alias("street"), F.col("a").alias("as_street"))
-    near = near.unionByName(spelled.select(F.col("text").alias("street"), F.col("text").alias("as_street")))
+    near = similar_pairs(everywhere, spelled).select(F.col("b").alias("street"), F.col("a").alias("as_street"), F.lit(1).alias("far"))
+    near = near.unionByName(spelled.select(F.col("text").alias("street"), F.col("text").alias("as_street"), F.lit(0).alias("far")))
     where = city_ref.select(F.col("city_key").alias("town"), F.col("country_code").alias("town_country"))
-    named = streets.select("town", F.col("street").alias("as_street"), "street_id")
-    found = (
-        lost.join(near, "street")
-        .join(named, "as_street")
-        .join(where, "town")
-        .filter((F.col("country") == "") | (F.col("country") == F.col("town_country")))
-        .select("rec_id", "house", "town", "street_id")
-        .distinct()
-        .join(houses.withColumn("hit", F.lit(1)), ["street_id", "house"], "left")
+    named = streets.select("town", F.col("street").alias("as_street"), "street_id").join(where, "town")
+    # of several streets of one town, the one that is spelled alike goes first
+    found = near.join(named, "as_street").groupBy("street", "town", "town_country", "street_id").agg(F.min("far").alias("far")).checkpoint()
+    inside = (F.col("country") == "") | (F.col("country") == F.col("town_country"))
+    only = [F.min(F.struct("far", "town", "street_id")).alias("low"), F.countDistinct("town").alias("n")]
+    by_street = lost.select("street", "country").distinct().join(found, "street").filter(inside).groupBy("street", "country").agg(*only)
+    by_house = (
+        lost.filter("house <> ''").join(found.join(houses, "street_id"), ["street", "house"]).filter(inside).groupBy(*keys)
+        .agg(*[c.alias(f"h_{x}") for c, x in zip(only, ("low", "n"))])
     )
-    per = found.groupBy("rec_id", "town").agg(F.min("street_id").alias("sid"), F.max("hit").alias("hit"))
-    best = F.max_by(F.struct("town", "sid"), F.coalesce("hit", F.lit(0)))
+    best = F.when((F.col("n") > 1) & (F.col("h_n") > 0), F.col("h_low")).otherwise(F.col("low"))
     return (
-        per.groupBy("rec_id")
-        .agg(F.count("*").alias("n"), F.count("hit").alias("h"), best.alias("b"))
-        .withColumn("towns", F.when((F.col("n") > 1) & (F.col("h") > 0), F.col("h")).otherwise(F.col("n")))
-        .select(
-            "rec_id",
-            "towns",
-            F.when(F.col("towns") == 1, F.col("b.town")).alias("as_town"),
-            F.when(F.col("towns") == 1, F.col("b.sid")).alias("as_id"),
-        )
+        lost.join(by_street, ["street", "country"]).join(by_house, keys, "left")
+        .withColumn("towns", F.when((F.col("n") > 1) & (F.col("h_n") > 0), F.col("h_n")).otherwise(F.col("n")))
+        .select(*keys, "towns", F.when(F.col("towns") == 1, best["town"]).alias("as_town"), F.when(F.col("towns") == 1, best["street_id"]).alias("as_id"))
     )
 
 
 def match_places(records: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> DataFrame:
-    """rec_id, place (class id, null without one) and towns (candidates of a record without a town).
+    """rec_id, place (class id, null without one), unit, towns and kinds (candidates for a missing town or kind of street).
 
     A record has no place without a house number or building, without a street and building, or
     while its town is missing and not decidable. Null and empty values are missing levels.
@@ -125,60 +134,52 @@ def match_places(records: DataFrame, city_ref: DataFrame, country_ref: DataFrame
     ensure_checkpoint_dir(records.sparkSession)
     rec = levels(records, city_ref, country_ref).filter(
         (F.col("number") != "") | (F.col("building") != "")
-    ).checkpoint()
+    ).withColumn("house", house_of()).checkpoint()
 
     # streets: spelling classes inside each town
-    spelled = rec.filter((F.col("town") != "") & (F.col("street") != "")).select(
-        F.col("town").alias("block"), F.col("street").alias("text")
-    ).distinct()
-    streets = fuzzy_roots(spelled).select(
+    known = rec.filter(F.col("town") != "")
+    spelled = known.filter(F.col("street") != "").groupBy(F.col("town").alias("block"), F.col("street").alias("text"), "house").agg(F.count("*").alias("n"))
+    streets = spelling_classes(spelled.groupBy("block", "text").agg(F.sum("n").alias("weight"), F.count("*").alias("houses"))).select(
         F.col("block").alias("town"), F.col("text").alias("street"), F.col("root").alias("street_id")
     ).checkpoint()
 
     # a missing town inherits the towns with that street; several are narrowed by the house
-    lost = rec.filter((F.col("town") == "") & (F.col("street") != "")).select("rec_id", "street", "country", house_of().alias("house"))
-    houses = (
-        rec.filter(F.col("town") != "").join(streets, ["town", "street"]).select("street_id", house_of().alias("house")).distinct()
-    )
+    lost = rec.filter((F.col("town") == "") & (F.col("street") != ""))
+    houses = known.select("town", "street", "house").distinct().join(streets, ["town", "street"]).select("street_id", "house").distinct()
     towns = inherit_towns(lost, streets, houses, city_ref)
+    cols = ["rec_id", "number", "building", "kind", "unit"]
     placed = (
-        rec.join(streets, ["town", "street"], "left")
-        .join(towns, "rec_id", "left")
-        .select(
-            "rec_id",
-            F.coalesce("towns", F.lit(0)).alias("towns"),
-            F.when(F.col("town") != "", F.col("town")).otherwise(F.col("as_town")).alias("town"),
-            F.coalesce("street_id", "as_id").alias("street_id"),
-            "number",
-            "building",
-        )
+        known.join(streets, ["town", "street"], "left").select(*cols, F.lit(0).cast("long").alias("towns"), "town", "street_id")
+        .unionByName(lost.join(towns, ["street", "country", "house"], "left").select(*cols, F.coalesce("towns", F.lit(0)).alias("towns"), F.col("as_town").alias("town"), F.col("as_id").alias("street_id")))
     ).checkpoint()
 
+    # houses: number and kind of street, where a kind is given; a missing one takes the only kind there
+    numbered = placed.filter((F.col("number") != "") & F.col("street_id").isNotNull())
+    kinds = numbered.groupBy("street_id", "number").agg(F.countDistinct(F.nullif("kind", F.lit(""))).alias("kinds"))
+    one = F.concat_ws(SEP, "street_id", F.lit("#"), "number")
+    by_number = numbered.join(kinds, ["street_id", "number"]).select(
+        "rec_id", "towns", "kinds", "unit", F.when(F.col("kinds") > 1, F.concat_ws(SEP, one, "kind")).otherwise(one).alias("place")
+    )
+
     # buildings: spelling classes inside each street; without a street, the town's only one of the name
-    named = placed.filter((F.col("number") == "") & F.col("street_id").isNotNull())
-    builds = fuzzy_roots(
-        named.select(F.col("street_id").alias("block"), F.col("building").alias("text")).distinct()
-    ).select(F.col("block").alias("street_id"), F.col("text").alias("building"), F.col("root").alias("building_id"))
+    named = placed.filter(F.col("number") == "")
+    housed = named.filter(F.col("street_id").isNotNull())
+    builds = spelling_classes(
+        housed.groupBy(F.col("street_id").alias("block"), F.col("building").alias("text")).agg(F.count("*").alias("weight"), F.lit(1).alias("houses"))
+    ).select(F.col("block").alias("street_id"), F.col("text").alias("building"), F.col("root").alias("building_id")).checkpoint()
     in_town = (
-        named.join(builds, ["street_id", "building"])
+        housed.select("town", "street_id", "building").distinct().join(builds, ["street_id", "building"])
         .groupBy("town", "building")
         .agg(F.countDistinct("building_id").alias("n"), F.min("building_id").alias("only_id"))
         .filter("n = 1")
         .select("town", "building", "only_id")
     )
-    return (
-        placed.join(builds, ["street_id", "building"], "left")
-        .join(in_town, ["town", "building"], "left")
-        .select(
-            "rec_id",
-            "towns",
-            F.when(
-                (F.col("number") != "") & F.col("street_id").isNotNull(), F.concat_ws(SEP, "street_id", F.lit("#"), "number")
-            )
-            .when(F.col("number") == "", F.coalesce("building_id", "only_id"))
-            .alias("place"),
-        )
+    by_building = (
+        named.join(builds, ["street_id", "building"], "left").join(in_town, ["town", "building"], "left")
+        .select("rec_id", "towns", F.lit(0).cast("long").alias("kinds"), "unit", F.coalesce("building_id", "only_id").alias("place"))
     )
+    rest = placed.filter((F.col("number") != "") & F.col("street_id").isNull()).select("rec_id", "towns", F.lit(0).cast("long").alias("kinds"), "unit", F.lit(None).cast("string").alias("place"))
+    return by_number.unionByName(by_building).unionByName(rest)
 
 
 def listing_records(sample_input: DataFrame) -> DataFrame:
@@ -194,12 +195,38 @@ def result_records(results: DataFrame) -> DataFrame:
     )
 
 
-def class_pairs(members: DataFrame, ident: str, key: str, extra: str | None = None) -> DataFrame:
-    """Pairs (smaller id first) of the members of a class, as the fixed result asks for."""
-    cols = [ident, key] + ([extra] if extra else [])
-    left = members.filter(F.col(key).isNotNull()).select(*[F.col(c).alias(f"{c}_a" if c != key else key) for c in cols])
-    right = members.filter(F.col(key).isNotNull()).select(*[F.col(c).alias(f"{c}_b" if c != key else key) for c in cols])
-    out = left.join(right, key).filter(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
+#: Members of a class that one task pairs with as many others.
+BLOCK = 2000
+
+
+def class_pairs(members: DataFrame, ident: str, key: str, extra: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Pairs (smaller id first) of the members of a class, as the fixed result asks for; with `extra`, of members that differ in it.
+
+    A class of more than `block` members is cut into blocks of about that size by a hash of the id, and every pair of
+    blocks is a key of its own: each member is sent once per block, and no task gets more than two blocks.
+    """
+    cols = [ident, *([extra] if extra else [])]
+    inside = members.filter(F.col(key).isNotNull()).select(key, *cols)
+    sizes = inside.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").withColumn("__b", F.ceil(F.col("__n") / block).cast("int"))
+    spread = inside.join(sizes, key).withColumn("__i", F.pmod(F.xxhash64(ident), F.col("__b")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__b") - 1))
+    left = spread.select(key, F.col("__i").alias("__x"), every.alias("__y"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    right = spread.select(key, every.alias("__x"), F.col("__i").alias("__y"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    out = left.join(right, [key, "__x", "__y"]).filter(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
     if extra:
         out = out.filter(F.col(f"{extra}_a") != F.col(f"{extra}_b"))
     return out.select(f"{ident}_a", f"{ident}_b")
+
+
+def class_members(members: DataFrame, ident: str, key: str, extra: str | None = None) -> DataFrame:
+    """One row per member: its id, the class's smallest id as `class_id`, and `links`, the members it is paired with.
+
+    With `extra`, members that don't differ in it are not linked. No pair is built.
+    """
+    inside = members.filter(F.col(key).isNotNull())
+    sizes = inside.groupBy(key).agg(F.count("*").alias("__n"), F.min(ident).alias("class_id"))
+    out = inside.join(sizes, key)
+    if extra is None:
+        return out.select(ident, "class_id", (F.col("__n") - 1).alias("links"))
+    alike = inside.groupBy(key, extra).agg(F.count("*").alias("__m"))
+    return out.join(alike, [key, extra]).select(ident, "class_id", (F.col("__n") - F.col("__m")).alias("links"))

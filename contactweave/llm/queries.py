@@ -71,21 +71,39 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("listing_id", "field_name", "value", "restored", F.array_join("layers", "; ").alias("layers"), "lost")
 
 
-@R.add("p6_found")
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = places.listing_records(table(spark, sf_dir, "sample_input")).unionByName(
         places.result_records(table(spark, sf_dir, "results"))
     )
-    placed = places.match_places(records, table(spark, sf_dir, "city_ref"), table(spark, sf_dir, "country_ref"))
-    return places.class_pairs(placed, "rec_id", "place")
+    return places.match_places(records, table(spark, sf_dir, "city_ref"), table(spark, sf_dir, "country_ref"))
 
 
-@R.add("p4_found")
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orgs = org_names.organisations(
+@R.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.class_pairs(_placed(spark, sf_dir), "rec_id", "place")
+
+
+@R.add("p6_places")
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record that has a place: the smallest id there and the number of other records."""
+    return places.class_members(_placed(spark, sf_dir), "rec_id", "place")
+
+
+def _organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return org_names.organisations(
         table(spark, sf_dir, "sample_input"), table(spark, sf_dir, "city_ref"), table(spark, sf_dir, "country_ref")
     )
-    return places.class_pairs(orgs, "listing_id", "org", "name")
+
+
+@R.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.class_pairs(_organisations(spark, sf_dir), "listing_id", "org", "name")
+
+
+@R.add("p4_classes")
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per listing that has an organisation: the smallest id there and the number of listings under another spelling."""
+    return places.class_members(_organisations(spark, sf_dir), "listing_id", "org", "name")
 
 
 @R.add("p8_ids")

@@ -108,25 +108,36 @@ class Trie:
     def search(self, value: str, limit: int) -> dict[str, int]:
         """Every key within `limit` edits (a swap of neighbours is one), with its least distance."""
         found: dict[str, int] = {}
-        first = list(range(len(value) + 1))
+        first = [j if j <= limit else limit + 1 for j in range(len(value) + 1)]
         for c, node in self.next.items():
-            self._walk(node, c, "", value, first, None, limit, found)
+            self._walk(node, c, "", value, 1, first, None, limit, found)
         return found
 
-    def _walk(self, node, c, last, value, prev, before, limit, found) -> None:
-        row = [prev[0] + 1]
-        for j in range(1, len(value) + 1):
-            d = prev[j - 1] if value[j - 1] == c else 1 + min(prev[j - 1], prev[j], row[j - 1])
+    def _walk(self, node, c, last, value, depth, prev, before, limit, found) -> None:
+        """One letter down: only cells within `limit` of the diagonal can count, all others are too far."""
+        n, big = len(value), limit + 1
+        row = [big] * (n + 1)
+        low, high = max(1, depth - limit), min(n, depth + limit)
+        least = row[0] = depth if depth <= limit else big
+        for j in range(low, high + 1):
+            if value[j - 1] == c:
+                d = prev[j - 1]
+            else:
+                d = prev[j] if prev[j] < prev[j - 1] else prev[j - 1]
+                d = 1 + (d if d < row[j - 1] else row[j - 1])
             if before is not None and j > 1 and value[j - 2] == c and value[j - 1] == last and before[j - 2] + 1 < d:
                 d = before[j - 2] + 1
-            row.append(d)
-        if node.keys and row[-1] <= limit:
+            if d < big:
+                row[j] = d
+                if d < least:
+                    least = d
+        if node.keys and row[n] <= limit:
             for k in node.keys:
-                if row[-1] < found.get(k, limit + 1):
-                    found[k] = row[-1]
-        if min(row) <= limit or min(prev) <= limit - 1:
-            for n, child in node.next.items():
-                self._walk(child, n, c, value, row, prev, limit, found)
+                if row[n] < found.get(k, big):
+                    found[k] = row[n]
+        if least <= limit or min(prev) < limit:
+            for letter, child in node.next.items():
+                self._walk(child, letter, c, value, depth + 1, row, prev, limit, found)
 
 
 def squeeze(value: str) -> str:

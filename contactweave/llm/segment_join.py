@@ -2,8 +2,9 @@
 
 A string of length L that allows k edits is cut into k + 1 segments; whatever k edits do, one
 segment survives. The shorter string of a pair is indexed by its segments, the longer one looks
-up the substrings at the positions an edit script can shift a segment to, and every candidate
-pair is verified with the banded Levenshtein distance of the JVM. Both sides are sets of distinct
+up the substrings at the positions where a segment can be the first or the last to survive (the edits
+left of it and right of it bound its shift), and every candidate pair is verified with the banded
+Levenshtein distance of the JVM. Both sides are sets of distinct
 strings per block, so a string repeated in a third of all rows is one node, and the join key holds
 block, length, segment number and segment, so that even one huge block spreads over all tasks.
 No candidate is dropped.
@@ -62,7 +63,10 @@ def probe_keys(text: str, ladder=LADDER) -> list[str]:
         if diff > k or not k:
             continue
         for i, (start, size) in enumerate(_cuts(m, k)):
-            for at in range(max(0, start - (k - diff) // 2), min(n - size, start + (k + diff) // 2) + 1):
+            # i segments lie left of this one and k - i right of it, each damaged at least once
+            low = max(0, start - i, start + diff - (k - i))
+            high = min(n - size, start + i, start + diff + (k - i))
+            for at in range(low, high + 1):
                 keys[f"{m}.{i}.{text[at : at + size]}"] = None
     return list(keys)
 

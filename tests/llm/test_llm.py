@@ -121,39 +121,118 @@ def test_places(spark):
         (1, "7 Dolharsabmur Road", "Golzeldun", "DE"), (2, "Dolharsabmur Rd. No. 7, Flat 2", "golzeldun", "DE"), (3, "7A Dolharsabmur Road", "Golzeldun", "DE"), (4, "Dolharsabmur Road", "Golzeldun", "DE"),
         (5, "nº 7, Dolhrasabmur", None, "DE"), (6, "7 Dolharsabmur Road", "Quadolzel", "DE"), (7, None, None, None), (8, "Wixsel House, Dolharsabmur Road", "Golzeldun", "DE"),
         (9, "Dolharsabmur Rd - House Wixsel", "Golzeldun", "DE"), (10, "7 Dolharsabmur Road", "Golzeldun", "DE"),
+        (11, "12 Church Road", "Golzeldun", "DE"), (12, "12 Church Street", "Golzeldun", "DE"), (13, "12 Church Rd, Flat 3", "Golzeldun", "DE"), (14, "12 Church", "Golzeldun", "DE"),
+        (15, "12345 Mainwater Street", "Golzeldun", "DE"), (16, "Mainwater St, No. 12345", "Golzeldun", "DE"), (17, "12346 Mainwater Street", "Golzeldun", "DE"),
+        *((20 + i, f"{i + 1} Millfield Lane", "Golzeldun", "DE") for i in range(5)), *((30 + i, f"{i + 1} Hillfield Lane", "Golzeldun", "DE") for i in range(5)), (40, "2 Millfeild Lane", "Golzeldun", "DE"),
     ]
     rec = spark.createDataFrame(rows, "rec_id long, street string, city string, country string")
-    placed = places.match_places(rec, city, country)
+    placed = places.match_places(rec, city, country).checkpoint()
     got = {tuple(r) for r in places.class_pairs(placed, "rec_id", "place").collect()}
-    assert got == {(1, 2), (1, 10), (2, 10), (8, 9)}  # record 5 fits two towns of its country: it stays explicit and links nothing
-    assert {r["rec_id"]: r["towns"] for r in placed.collect()}[5] == 2
+    # record 5 fits two towns of its country, 14 two kinds of street: they stay explicit and link nothing
+    assert got == {(1, 2), (1, 10), (2, 10), (8, 9), (11, 13), (15, 16), (21, 40)}
+    by = {r["rec_id"]: r for r in placed.collect()}
+    assert by[5]["towns"] == 2 and by[14]["kinds"] == 2 and by[13]["unit"] == "flat 3" and len(by) == len([r for r in rows if r[0] not in (4, 7)])
     one_town = places.match_places(rec.filter("rec_id <> 6"), city, country)
     assert (1, 5) in {tuple(r) for r in places.class_pairs(one_town, "rec_id", "place").collect()}
     assert places.match_places(rec.limit(0), city, country).count() == 0
 
 
-def test_names_taken_apart():
-    core = lambda n: org_names.take_apart(n)
+def test_street_of_every_town_narrowed_by_the_house(spark):
+    """A street name that all towns have: the house decides, else nothing does."""
+    towns = [(f"K{i}", f"Town{chr(97 + i // 26)}{chr(97 + i % 26)}burg", None, "DE") for i in range(40)]
+    city, country = spark.createDataFrame(towns, CITY_SCHEMA), spark.createDataFrame(COUNTRIES, COUNTRY_SCHEMA)
+    rows = [(i, f"{i + 1} Mainwater Street", t[1], "DE") for i, t in enumerate(towns)] + [(100 + i, "17 Mainwater Street", None, "DE") for i in range(30)] + [(200, "99 Mainwater Street", None, "DE")]
+    placed = places.match_places(spark.createDataFrame(rows, "rec_id long, street string, city string, country string"), city, country)
+    by = {r["rec_id"]: r for r in placed.collect()}
+    assert all(by[100 + i]["place"] == by[16]["place"] and by[100 + i]["towns"] == 1 for i in range(30)) and by[200]["towns"] == 40 and by[200]["place"] is None
+
+
+LISTING = "listing_id long, name string, street string, city string, country_code string, google_business_categories string, phone_number string, url string, email string"
+
+
+def surroundings(first_id=100_000):
+    """Listings of other organisations in other towns, from which trade and filler words can be learned."""
+    rng = random.Random(11)
+    kinds = (
+        ("{} Bakery", "bakery"), ("{} Bkry Ltd.", "bakery"), ("{} Physiopraxis", "physiotherapist"), ("{} Dental Clinic", "dental_clinic"), ("Dental Clin. {}", "dental_clinic"), ("{} Book Store", "book_store"),
+        ("{} Architects", "architect"), ("{} Plumbing Svcs", "plumber"), ("Guest House: {}", "hotel"), ("{} G.H.", "hotel"), ("Price {} Bakery", "bakery"), ("{} Book Store Price", "book_store"), ("Price {} Plumbing", "plumber"),
+    )
+    syllables = "bal cor dun fir gol har jas kel lum mar nov ost pel qua rus sel tam ulf vel wix".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(3)).title()
+    return [
+        (first_id + i, kinds[i % len(kinds)][0].format(f"{word()} {word()}"), None, f"Farplace {chr(97 + i % 23)}{chr(97 + i % 19)}", "MT", kinds[i % len(kinds)][1], None, None, None) for i in range(1300)
+    ]
+
+
+@pytest.fixture(scope="module")
+def lexicon(spark):
+    return org_names.learn_lexicon(spark.createDataFrame(surroundings(), LISTING))
+
+
+def test_learned_words(lexicon):
+    trades, filler = {w: t for w, t in lexicon if t}, {w for w, t in lexicon if not t}
+    assert trades["bakery"] == trades["bkry"] == "bakery" and trades["physiopraxis"] == "physiotherapist" and trades["gh"] == trades["guest"] == "hotel" and trades["svcs"] == "plumber"
+    assert "price" in filler and not {"firbal", "golgol"} & {w for w, _ in lexicon}
+
+
+def test_one_large_organisation_makes_no_trade_word(spark):
+    hot = [(i, "Wixcal Novwenpel Bakery", None, "Golzeldun", "DE", "bakery", None, None, None) for i in range(700)]
+    got = dict(org_names.learn_lexicon(spark.createDataFrame([*surroundings(), *hot], LISTING)))
+    assert got["bakery"] == "bakery" and "wixcal" not in got and "novwenpel" not in got
+    assert org_names.learn_lexicon(spark.createDataFrame([], LISTING)) == []
+
+
+def test_names_taken_apart(lexicon):
+    core = org_names.Lexicon(lexicon).take_apart
     assert core("Guest House: Bernov + Hamtipmar")[0] == core("Bernov Hamtipmar G.H. Ltd.")[0] == "bernovhamtipmar"
-    assert core("Dr. Vicky Dratam-Tamdolnan, Physiopraxis")[2:] == ("victoria", "physiotherapist")
-    assert core("M. Dratam-Tamdolnan - Plumbing Svcs")[2:] == ("m", "plumber")
+    assert core("Dr. Vicky Dratam-Tamdolnan, Physiopraxis")[2:] == ("victoria", ["physiotherapist"])
+    assert core("M. Dratam-Tamdolnan - Plumbing Svcs")[2:] == ("m", ["plumber"])
     assert core("Bernov Hamtipmar Bakery – Saint Novbri")[0] == "bernovhamtipmar"
-    assert core(None) == ("", [], "", "") and core("  ")[0] == "" and core("Ltd.")[0] == ""
+    assert core(None) == ("", [], "", []) and core("  ")[0] == "" and core("Ltd.")[0] == ""
+    assert core("Price & Sons")[0] == "price" and core("Μόδα Ελιά")[0] == "μοδαελια"  # nothing rarer names them
+    five = core("Alba Bercor Cirdun Domfir Estgol Bakery")[1]
+    assert five == [] and core("Domfir Bercor Estgol Alba Cirdun")[1] == ["albabercorcirdundomfirestgol"]
 
 
-def test_organisations(spark):
+def linked(spark, rows):
+    """Pairs among the given (id, name, city, country) beside learned surroundings."""
     city, country = spark.createDataFrame(TOWNS, CITY_SCHEMA), spark.createDataFrame(COUNTRIES, COUNTRY_SCHEMA)
+    df = spark.createDataFrame([*((i, n, None, c, k, None, None, None, None) for i, n, c, k in rows), *surroundings()], LISTING)
+    orgs = org_names.organisations(df, city, country).checkpoint()
+    pairs = {tuple(r) for r in places.class_pairs(orgs, "listing_id", "org", "name").collect() if r[0] < 100_000}
+    members = {r["listing_id"]: (r["class_id"], r["links"]) for r in places.class_members(orgs, "listing_id", "org", "name").collect()}
+    return pairs, members
+
+
+def test_organisations(spark):
     names = [
         (1, "Bernov Hamtipmar Bakery", "Golzeldun"), (2, "Beernov Ħamtîpmar Bkry Ltd.", "golzeldun"), (3, "Hamtipmar, Bernov - Bakery", "Golzeldun"), (4, "BERNOVHAMTIPMAR", "Golzeldun"),
         (5, "Bernov Hamtipmar Bakery", "St Novbri"), (6, None, "Golzeldun"), (7, "Dr. Robert Sel-Vanost, Dental Clinic", "Golzeldun"), (8, "Bob Sel-Vanost Dental Clin.", "Golzeldun"),
         (9, "Maria Sel-Vanost, Dental Clinic", "Golzeldun"), (10, "Wixcal Novwenpel Book Store", "Golzeldun"), (11, "Wixcal Novwenpel Architects", "Golzeldun"), (12, "Bernov Hamtipmar Bakery", "Golzeldun"),
+        (13, "Bercor Cirdunta Albamek Bakery", "Golzeldun"), (14, "Albamek Bercor Cirdunta Bkry", "Golzeldun"), (15, "Cirdunta, Bercor Albamek Bakery", "Golzeldun"),
+        (16, "Domfir Estgolta Firnovka Golharum Harjasin Bakery", "Golzeldun"), (17, "Golharum Domfir Harjasin Firnovka Estgolta Bakery", "Golzeldun"), (18, "Price & Sons", "Golzeldun"), (19, "PRICE & Sons Ltd", "Golzeldun"),
     ]
-    rows = [(i, n, None, c, "DE" if c and c.lower() == "golzeldun" else "MT", None, None, None, None) for i, n, c in names]
-    df = spark.createDataFrame(rows, "listing_id long, name string, street string, city string, country_code string, google_business_categories string, phone_number string, url string, email string")
-    orgs = org_names.organisations(df, city, country)
-    got = {tuple(r) for r in places.class_pairs(orgs, "listing_id", "org", "name").collect()}
-    assert got == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (2, 12), (3, 12), (4, 12), (7, 8)}
-    assert org_names.organisations(df.limit(0), city, country).count() == 0
+    pairs, members = linked(spark, [(i, n, c, "DE" if c.lower() == "golzeldun" else "MT") for i, n, c in names])
+    assert pairs == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (2, 12), (3, 12), (4, 12), (7, 8), (13, 14), (13, 15), (14, 15), (16, 17), (18, 19)}
+    assert members[1] == (1, 3) and members[2] == (1, 4) and members[5] == (5, 0) and members[8] == (7, 1) and 6 not in members
+    city, country = spark.createDataFrame(TOWNS, CITY_SCHEMA), spark.createDataFrame(COUNTRIES, COUNTRY_SCHEMA)
+    assert org_names.organisations(spark.createDataFrame([], LISTING), city, country).count() == 0
+
+
+def test_hot_class_is_paired_in_blocks(spark):
+    df = spark.range(150).select(F.col("id").alias("k"), F.when(F.col("id") < 120, F.lit("hot")).otherwise(F.concat(F.lit("c"), (F.col("id") % 10).cast("string"))).alias("c"), (F.col("id") % 7).cast("string").alias("t"))
+    rows = [(r["k"], r["c"], r["t"]) for r in df.collect()]
+    want = {(a, b) for a, c, t in rows for b, d, u in rows if a < b and c == d and t != u}
+    got = [tuple(r) for r in places.class_pairs(df, "k", "c", "t", block=16).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r["k"], r["links"]) for r in places.class_members(df, "k", "c", "t").collect()} == {(a, sum(1 for b, d, u in rows if d == c and u != t)) for a, c, t in rows}
+
+
+def test_stars_do_not_chain(spark):
+    nodes = spark.createDataFrame([("a", 9), ("b", 5), ("c", 4), ("d", 1), ("e", 1), ("f", 2)], "id string, weight long")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("f", "e"), ("b", "a")], "a string, b string")
+    assert {r["id"]: r["root"] for r in components.stars(nodes, edges).collect()} == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "f", "f": "f"}
+    assert components.stars(nodes, edges.limit(0)).count() == 0
 
 
 # ------------------------------------------------------------------ problem 5

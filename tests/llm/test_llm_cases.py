@@ -1,6 +1,7 @@
 import random
 
 from contactweave.llm import org_names, places, stuffing
+from test_llm import LISTING, surroundings
 
 
 # ------------------------------------------------------------------ problem 10
@@ -27,14 +28,11 @@ def test_extreme_curve_flags_by_itself_at_its_length(spark):
 
 
 # ------------------------------------------------------------------ problem 4
-LISTING = "listing_id long, name string, street string, city string, country_code string, google_business_categories string, phone_number string, url string, email string"
-
-
 def _linked(spark, rows):
     city = spark.createDataFrame([("T1", "Saint Novbri", None, "DE"), ("T2", "Golzeldun", "Zelnilsøl", "DE")], "city_key string, city_name string, alt_name string, country_code string")
     country = spark.createDataFrame([("DE", "Germany", "DEU", "Deutschland")], "country_code string, country_name string, iso3 string, native_name string")
-    df = spark.createDataFrame([(i, n, None, c, "DE", None, phone, None, None) for i, n, c, phone in rows], LISTING)
-    return {tuple(r) for r in places.class_pairs(org_names.organisations(df, city, country), "listing_id", "org", "name").collect()}
+    df = spark.createDataFrame([*((i, n, None, c, "DE", None, phone, None, None) for i, n, c, phone in rows), *surroundings()], LISTING)
+    return {tuple(r) for r in places.class_pairs(org_names.organisations(df, city, country), "listing_id", "org", "name").collect() if r[0] < 100_000}
 
 
 def test_glued_name_meets_the_longer_form_of_another(spark):
