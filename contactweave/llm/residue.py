@@ -7,8 +7,13 @@ containment is weighed by inverse document frequency both ways: how much of the
 exemplar explains, and how much of the exemplar the window holds. High coverage excludes the
 page. A sentence that merely speaks of such things holds words no exemplar explains.
 
+What differs from case to case is masked to one term: paths, hosts, code names, numbers, and template slots. A slot is
+residue wherever it stands, so that exemplar need only be held; filler comes in any order, so that exemplar need
+only explain the window. Its words are those of the well-known passage, and what goes with it: words of the pages that
+hold the passage's first two words, unless other pages hold them as well (`filler_words`).
+
 Document frequencies of the exemplars' terms are counted over all pages (the vocabulary is fixed by
-the exemplars, so that table has a few hundred rows); pages themselves pass without a shuffle.
+the exemplars, so that table has a few hundred rows) in the JVM; pages themselves pass once through Python, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,14 +21,14 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contactweave.llm.folding import fold
+from contactweave.llm.folding import fold, folded
 
 # ---------------------------------------------------------------- fixed values: labelled exemplars
 EXEMPLARS = {
@@ -63,12 +68,12 @@ Coming soon | This site is under construction | This domain is for sale | Hier e
 Site en maintenance, revenez bientôt | Site en construction | Ce domaine est à vendre | Sitio en construcción | Sitio en mantenimiento, vuelva pronto | Este dominio está en venta
 """,
 }
-#: Words of pseudo-Latin filler; a window made of them is filler in any order.
+#: The well-known passage of pseudo-Latin filler, and the words that give it away.
 FILLER = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
-    "duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "agmen amentis aperio corpora dolum ferrant mundi nontas nostrum orbita pellit placet quaedo quilor sedet sumis talem ultima ventis vestra viderum"
+    "duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
+FILLER_SIGNS = ("lorem", "ipsum")
 #: Words that name a field of a template.
 FIELD_WORDS = frozenset(
     "name first last full company business firm organisation organization city town street address email mail phone telephone number fax zip postal postcode code country region state date year title "
@@ -77,7 +82,8 @@ FIELD_WORDS = frozenset(
 
 MIN_WINDOW_COVER = 0.72
 MIN_EXEMPLAR_COVER = 0.6
-MIN_FILLER_COVER = 0.85
+#: Kinds of exemplars with coverages of their own: least share of the window, least share of the exemplar, least terms of the window.
+COVERS = {"filler": (0.85, 0.0, 4), "slot": (0.0, 1.0, 1)}
 UNKNOWN_IDF = math.log(100)
 MAX_IDF = 5.0
 
@@ -91,6 +97,7 @@ _SLOT = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\{%[^%]{1,60}%\}|\$\{[^{}]{1,40}\}|<%.{1,60}?%>|\*\|[^|]{1,40}\|\*|\[\[[^\[\]]{1,40}\]\]|##[A-Za-z_ ]{2,40}##|%%[A-Za-z_ ]{2,40}%%"
 )
 _NAMED = re.compile(r"%([A-Za-z_]{2,40})%|\[([A-Za-z_ ]{2,40})\]|\{([A-Za-z_ ]{2,40})\}|__([A-Z_]{2,40})__|<([A-Za-z_ ]{3,40})>")
+_BRACKET = re.compile(r"[{\[%$*#_<]")
 _PATH = re.compile(r"\"?(?:/[\w.\-]+){2,}(?::\d+)?\"?|\b(?:[A-Za-z_]\w*\.){2,}\w+\([\w.]+:\d+\)")
 _HOSTNAME = re.compile(r"\b(?:[\w\-]+\.)+[a-z]{2,}\b(?!\()")
 _LOCATION = re.compile(r"\(\w+:\d+\)")
@@ -112,22 +119,16 @@ def passages(page: str | None) -> list[str]:
     return [w for w in (re.sub(r"[ \t\r\f\xa0]+", " ", s).strip() for s in _SENTENCE.split(text)) if w]
 
 
-def has_slot(window: str) -> bool:
-    """An unfilled template place stands in the window."""
-    if not any(c in window for c in "{[%$*#_<"):
-        return False
-    if _SLOT.search(window):
-        return True
-    for m in _NAMED.finditer(window):
-        words = re.split(r"[_ ]+", next(g for g in m.groups() if g).lower())
-        if all(w in FIELD_WORDS for w in words if w):
-            return True
-    return False
+def _named_slot(m: re.Match) -> str:
+    words = re.split(r"[_ ]+", next(g for g in m.groups() if g).lower())
+    return " §slot " if all(w in FIELD_WORDS for w in words if w) else m[0]
 
 
 def terms(window: str) -> list[str]:
-    """Folded terms; numbers, paths, hosts and code names are masked."""
+    """Folded terms; template slots, numbers, paths, hosts and code names are masked."""
     s = window
+    if _BRACKET.search(s):
+        s = _NAMED.sub(_named_slot, _SLOT.sub(" §slot ", s))
     if "/" in s or "(" in s:
         s = _PATH.sub(" §path ", s)
         s = _LOCATION.sub(" §loc ", s)
@@ -150,72 +151,95 @@ def exemplar_terms() -> list[tuple[str, list[str]]]:
 
 
 class Index:
-    """Inverted index over the exemplars with the weights of their terms."""
+    """Inverted index over the exemplars with the weights of their terms; `filler`: learned filler words."""
 
-    def __init__(self, idf: dict[str, float] | None = None):
+    def __init__(self, idf: dict[str, float] | None = None, filler: Iterable[str] = ()):
         self.idf = idf or {}
-        self.exemplars = exemplar_terms()
-        self.filler = frozenset(FILLER)
+        self.exemplars: list[tuple[str, frozenset[str]]] = [(k, frozenset(ts)) for k, ts in exemplar_terms()]
+        self.exemplars += [("filler", frozenset(FILLER) | frozenset(filler)), ("slot", frozenset(["§slot"]))]
         self.index: dict[str, list[int]] = {}
         self.weight: list[float] = []
-        self.sets: list[frozenset[str]] = []
-        for i, (_, ts) in enumerate(self.exemplars):
-            s = frozenset(ts)
-            self.sets.append(s)
+        self.cover: list[tuple[float, float, int]] = []
+        self.telling: set[str] = set()
+        for i, (kind, s) in enumerate(self.exemplars):
             self.weight.append(sum(self.of(t) for t in s))
+            self.cover.append(COVERS.get(kind, (MIN_WINDOW_COVER, MIN_EXEMPLAR_COVER, 1)))
             for t in s:
                 self.index.setdefault(t, []).append(i)
-        # without any of an exemplar's heavier half of terms a window can't hold most of its weight
-        self.telling = self.filler | {t for s in self.sets for t in sorted(s, key=lambda t: (-self.of(t), t))[: max(2, len(s) // 2 + 1)]}
+            # without any of an exemplar's heavier half of terms a window can't hold most of its weight
+            least = self.cover[i][1]
+            self.telling |= s if least < 0.5 else set(sorted(s, key=lambda t: (-self.of(t), t))[: max(2, len(s) // 2 + 1)])
 
     def of(self, term: str) -> float:
         return self.idf.get(term, UNKNOWN_IDF)
 
     def match(self, window: str) -> str | None:
         """Kind of residue in the window, or None."""
-        if has_slot(window):
-            return "slot"
         ts = set(terms(window))
         if ts.isdisjoint(self.telling):
             return None
-        if len(ts) < 2 or len(ts) > 60:
-            return "filler" if len(ts) > 60 and self._filler(ts) else None
-        total = sum(self.of(t) for t in ts)
-        if len(ts) >= 4 and self._filler(ts):
-            return "filler"
+        total = 0.0
         seen: dict[int, float] = {}
         for t in ts:
             w = self.of(t)
+            total += w
             for i in self.index.get(t, ()):
                 seen[i] = seen.get(i, 0.0) + w
+        slack = 1e-9 * total
         for i, w in seen.items():
-            if w >= MIN_WINDOW_COVER * total and w >= MIN_EXEMPLAR_COVER * self.weight[i]:
+            of_window, of_exemplar, least = self.cover[i]
+            if len(ts) >= least and w + slack >= of_window * total and w + slack >= of_exemplar * self.weight[i]:
                 return self.exemplars[i][0]
         return None
 
-    def _filler(self, ts: set[str]) -> bool:
-        return sum(t in self.filler for t in ts) >= MIN_FILLER_COVER * len(ts)
-
 
 def vocabulary() -> frozenset[str]:
-    return frozenset(t for _, ts in exemplar_terms() for t in ts)
+    return frozenset(t for _, ts in exemplar_terms() for t in ts) | frozenset(FILLER)
 
 
-def term_idf(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Inverse document frequency of the exemplars' terms over all pages; at most the vocabulary's size."""
-    vocab = vocabulary()
+def _page_terms(html: Column) -> Column:
+    """Distinct folded words of a page's text and the masks that occur in it, without Python."""
+    text = F.regexp_replace(html, r"(?is)" + _DROP.pattern, " ")
+    text = F.regexp_replace(text, r"<[^>]*>", " ")
+    words = F.array_distinct(F.regexp_extract_all(folded(text), F.lit(r"\p{L}+"), F.lit(0)))
+    masks = (("#", r"\d"), ("§path", _PATH.pattern), ("§host", _HOSTNAME.pattern), ("§loc", _LOCATION.pattern), ("§name", _CODE_NAME.pattern))
+    return F.concat(words, F.filter(F.array(*[F.when(text.rlike(p), F.lit(m)) for m, p in masks]), lambda x: x.isNotNull()))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda h: sorted(vocab.intersection(t for w in passages(h) for t in terms(w))))
 
+def term_pages(pages: DataFrame, html_col: str, words: Iterable[str]) -> tuple[int, dict[str, int]]:
+    """Number of pages with text, and of those that hold each of the given words: one row a word comes to the driver."""
+    vocab = F.array(*[F.lit(w) for w in sorted(words)])
     shown = pages.filter(F.length(html_col) > 0)
-    found = shown.select(known(F.col(html_col)).alias("ts"))
-    rows = found.select(F.explode(F.concat("ts", F.array(F.lit("")))).alias("t")).groupBy("t").count().collect()
-    counts = {r["t"]: r["count"] for r in rows}
-    n = counts.pop("", 0)
-    return {t: min(MAX_IDF, math.log((n + 1) / (c + 1))) + 0.05 for t, c in counts.items()}
+    found = F.concat(F.array_intersect(_page_terms(F.col(html_col)), vocab), F.array(F.lit("")))
+    counts = {r["t"]: r["count"] for r in shown.select(F.explode(found).alias("t")).groupBy("t").count().collect()}
+    return counts.pop("", 0), counts
+
+
+def filler_words(pages: DataFrame, html_col: str = "html", share: float = 0.01) -> dict[str, int]:
+    """Words of at least `share` of the pages that hold both filler signs (two pages at least), with the number of these pages.
+
+    No more than (words of such a page) / `share` words, whatever the number of pages.
+    """
+    low = F.lower(html_col)
+    signed = pages.filter(F.length(html_col) > 0).filter(low.contains(FILLER_SIGNS[0]) & low.contains(FILLER_SIGNS[1])).select(_page_terms(F.col(html_col)).alias("ts"))
+    signed = signed.filter(F.array_contains("ts", FILLER_SIGNS[0]) & F.array_contains("ts", FILLER_SIGNS[1]))
+    counted = signed.select(F.explode(F.concat("ts", F.array(F.lit("")))).alias("t")).groupBy("t").count()
+    n = counted.filter("t = ''").select("count").first()
+    least = max(2, math.ceil(share * n[0])) if n else 2
+    return {r["t"]: r["count"] for r in counted.filter((F.col("count") >= least) & (F.col("t") != "")).collect()}
+
+
+def learn(pages: DataFrame, html_col: str = "html", only: float = 0.3) -> tuple[dict[str, float], list[str]]:
+    """(inverse document frequencies, learned filler words) over all pages.
+
+    A word is filler when at least `only` of the pages that hold it hold the filler signs too.
+    """
+    beside = filler_words(pages, html_col)
+    vocab = vocabulary()
+    n, counts = term_pages(pages, html_col, vocab | {t for t in beside if t[0] not in "#§"})
+    filler = sorted(t for t, c in beside.items() if t not in vocab and c >= only * counts.get(t, c + 1))
+    idf = {t: min(MAX_IDF, math.log((n + 1) / (c + 1))) + 0.05 for t, c in counts.items() if t in vocab}
+    return idf, filler
 
 
 def residue_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -223,11 +247,11 @@ def residue_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Null and empty pages, and pages without visible text, are no case.
     """
-    idf = term_idf(pages, html_col)
+    idf, filler = learn(pages, html_col)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index, memo = Index(idf), {}
+        index, memo = Index(idf, filler), {}
 
         def one(window: str):
             if window not in memo:

@@ -7,8 +7,11 @@ each text is put together again by position. Decoding joins the table of token b
 
 Words follow Zipf's law, so a plain join on the word would send a tenth of the corpus to one task.
 Words with at least `hot_share` of all occurrences, of which there can be no more than
-1 / hot_share, are joined as a broadcast; that is the bound under which they are shipped. The rest
-is joined by a shuffle. Repeated texts are encoded once and fanned out at the end.
+1 / hot_share, are joined as a broadcast; that is the bound under which they are shipped. They never leave the
+partition of their text. Only the rest is sent to its word and back, with all its places in a text at once.
+
+Repeated texts are encoded once. Their ids are copied over as many keys as a much repeated text needs
+(`salts`), so that no task gets all its rows. Rows with an empty or null text take no part in any join.
 
 The tokenizer's file is a parameter; nothing is trained and nothing is copied.
 """
@@ -78,38 +81,52 @@ def decode_corpus(encoded: DataFrame, path: str = f"{TOKENIZER_DIR}/{BYTE_BPE_50
     )
 
 
+#: Rows of one text that one task gives their ids.
+COPIES = 10_000
+
+
 def encode_corpus(
     documents: DataFrame,
     path: str = f"{TOKENIZER_DIR}/{BYTE_BPE_50K}",
     id_col: str = "doc_id",
     text_col: str = "text",
-    hot_share: float = 1e-3,
+    hot_share: float = 1e-5,
+    copies: int = COPIES,
 ) -> DataFrame:
     """(id, ids) for every row; a null and an empty text give an empty list.
 
     Special tokens' strings are ordinary text. Rows with equal texts, equal ids or null ids keep
     their own row each.
     """
-    docs = documents.select(F.col(id_col).alias(id_col), F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"))
-    texts = docs.filter(F.length("text") > 0).groupBy("key").agg(F.first("text").alias("text"))
-    tokens = texts.select(
-        "key", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "word")
-    )
     ensure_checkpoint_dir(documents.sparkSession)
+    none = F.array().cast("array<int>")
+    docs = documents.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
+    full = docs.filter(F.length("text") > 0).withColumn("key", F.unhex(F.md5("text")))
+    texts = full.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    tokens = texts.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "word"))
     counted = tokens.groupBy("word").count()
     words = counted.select("word", encode_udf(path)("word").alias("piece"), "count").checkpoint()
     least = (words.agg(F.sum("count")).first()[0] or 0) * hot_share
-    hot = words.filter(F.col("count") >= least).select("word", "piece")
+    hot = words.filter(F.col("count") >= least).select("word", F.col("piece").alias("hot"))
     cold = words.filter(F.col("count") < least).select("word", "piece")
-    joined = (
-        tokens.join(F.broadcast(hot.withColumnRenamed("piece", "hot")), "word", "left")
-    )
-    found = joined.filter(F.col("hot").isNotNull()).select("key", "pos", F.col("hot").alias("piece")).unionByName(
-        joined.filter(F.col("hot").isNull()).select("key", "pos", "word").join(cold, "word").select("key", "pos", "piece")
-    )
-    encoded = found.groupBy("key").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"])).alias("ids")
+    # one pass over the tokens by text: pieces of hot words by place, places of cold words by word
+    joined = tokens.join(F.broadcast(hot), "word", "left")
+    seen = F.col("hot").isNotNull()
+    parts = joined.groupBy("key").agg(
+        F.collect_list(F.when(seen, F.struct("pos", F.col("hot").alias("piece")))).alias("known"),
+        F.collect_list(F.when(~seen, F.struct("word", "pos"))).alias("open"),
+    ).checkpoint()
+    asked = parts.filter(F.size("open") > 0).select("key", F.explode("open").alias("o")).groupBy("key", "o.word").agg(F.collect_list("o.pos").alias("at"))
+    answered = asked.join(cold, "word").select("key", F.struct("at", "piece").alias("x")).groupBy("key").agg(F.collect_list("x").alias("late"))
+    spread = F.flatten(F.transform(F.coalesce("late", F.array().cast("array<struct<at:array<int>,piece:array<int>>>")), lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["piece"].alias("piece")))))
+    whole = F.array_sort(F.concat("known", spread))
+    encoded = parts.join(answered, "key", "left").select("key", F.flatten(F.transform(whole, lambda x: x["piece"])).alias("ids"))
+    # much repeated texts are answered under several keys; they can't be more than (rows / copies)
+    salts = texts.filter(F.col("n") > copies).select("key", F.ceil(F.col("n") / copies).cast("int").alias("salts"))
+    many = encoded.join(salts, "key", "left").select(
+        "key", "ids", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
     )
-    return docs.select(id_col, "key").join(encoded, "key", "left").select(
-        id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
+    rows = full.select(id_col, "key").join(salts, "key", "left").select(id_col, "key", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    return rows.join(many, ["key", "salt"]).select(id_col, "ids").unionByName(
+        docs.filter((F.length("text") == 0) | F.col("text").isNull()).select(id_col, none.alias("ids"))
     )

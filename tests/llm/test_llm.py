@@ -248,6 +248,18 @@ def test_residue(spark):
     assert residue.residue_pages(df.limit(0)).count() == 0
 
 
+def test_residue_learns_filler_beside_the_known_passage(spark):
+    rng = random.Random(2)
+    made_up = "quellam dortis vantum erlisque porbam neltis".split()
+    pages = [(i, f"<p>Lorem ipsum {' '.join(rng.sample(made_up, 4))}.</p><p>We are open on day {i} and bake bread.</p>") for i in range(12)]
+    pages += [(100 + i, f"<p>We bake bread {i} times a day, our wine is called Lorem.</p>") for i in range(40)]
+    pages += [(200, f"<p>{' '.join(made_up)}</p>"), (201, "<p>" + " ".join(rng.choice(made_up) for _ in range(300)) + "</p>"), (202, "<p>Vantum and Dortis bake bread for our neltis house, and more.</p>")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    assert set(residue.learn(df)[1]) == set(made_up)
+    assert {r["page_id"] for r in residue.residue_pages(df).collect()} == {*range(12), 200, 201}
+    assert residue.Index().match("Hello {{ first_name }}") == "slot" and residue.Index().match("Hello [spring]") is None
+
+
 # ------------------------------------------------------------------ problem 7
 TYPED = ["Frézel & Čirsel", "Gaststätte Łodbézçãoğ", "Åħø Ñandű", "Physiopraxis – Söl"]
 
