@@ -81,6 +81,8 @@ def decode_corpus(encoded: DataFrame, path: str = f"{TOKENIZER_DIR}/{BYTE_BPE_50
     )
 
 
+#: Ids of the public vocabularies fit into so many bits; place and id of a word of one token share a long.
+ID_BITS = 20
 #: Rows of one text that one task gives their ids.
 COPIES = 10_000
 
@@ -109,17 +111,20 @@ def encode_corpus(
     least = (words.agg(F.sum("count")).first()[0] or 0) * hot_share
     hot = words.filter(F.col("count") >= least).select("word", F.col("piece").alias("hot"))
     cold = words.filter(F.col("count") < least).select("word", "piece")
-    # one pass over the tokens by text: pieces of hot words by place, places of cold words by word
+    # one pass over the tokens by text: ids of hot words by place, places of cold words by word
     joined = tokens.join(F.broadcast(hot), "word", "left")
-    seen = F.col("hot").isNotNull()
+    seen, single = F.col("hot").isNotNull(), F.size("hot") == 1
+    place = F.shiftleft(F.col("pos").cast("long"), ID_BITS)
     parts = joined.groupBy("key").agg(
-        F.collect_list(F.when(seen, F.struct("pos", F.col("hot").alias("piece")))).alias("known"),
+        F.collect_list(F.when(single, place + F.get("hot", F.lit(0)))).alias("ones"),
+        F.collect_list(F.when(seen & ~single, F.struct("pos", F.col("hot").alias("piece")))).alias("several"),
         F.collect_list(F.when(~seen, F.struct("word", "pos"))).alias("open"),
     ).checkpoint()
     asked = parts.filter(F.size("open") > 0).select("key", F.explode("open").alias("o")).groupBy("key", "o.word").agg(F.collect_list("o.pos").alias("at"))
     answered = asked.join(cold, "word").select("key", F.struct("at", "piece").alias("x")).groupBy("key").agg(F.collect_list("x").alias("late"))
     spread = F.flatten(F.transform(F.coalesce("late", F.array().cast("array<struct<at:array<int>,piece:array<int>>>")), lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["piece"].alias("piece")))))
-    whole = F.array_sort(F.concat("known", spread))
+    singles = F.transform("ones", lambda x: F.struct(F.shiftright(x, ID_BITS).cast("int").alias("pos"), F.array(x.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")).alias("piece")))
+    whole = F.array_sort(F.concat(singles, "several", spread))
     encoded = parts.join(answered, "key", "left").select("key", F.flatten(F.transform(whole, lambda x: x["piece"])).alias("ids"))
     # much repeated texts are answered under several keys; they can't be more than (rows / copies)
     salts = texts.filter(F.col("n") > copies).select("key", F.ceil(F.col("n") / copies).cast("int").alias("salts"))
