@@ -10,10 +10,10 @@ page. A sentence that merely speaks of such things holds words no exemplar expla
 What differs from case to case is masked to one term: paths, hosts, code names, numbers, and template slots. A slot is
 residue wherever it stands, so that exemplar need only be held; filler comes in any order, so that exemplar need
 only explain the window. Its words are those of the well-known passage, and what goes with it: words of the pages that
-hold the passage's first two words, unless other pages hold them as well (`filler_words`).
+hold the passage's first two words, unless other pages hold them as well (`learn`).
 
 Document frequencies of the exemplars' terms are counted over all pages (the vocabulary is fixed by
-the exemplars, so that table has a few hundred rows) in the JVM; pages themselves pass once through Python, without a shuffle.
+the exemplars, so that table has a few hundred rows); pages themselves pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contactweave.llm.folding import fold, folded
+from contactweave.llm.components import ensure_checkpoint_dir
+from contactweave.llm.folding import fold
 
 # ---------------------------------------------------------------- fixed values: labelled exemplars
 EXEMPLARS = {
@@ -91,7 +92,7 @@ _DROP = re.compile(r"<!--.*?-->|<(script|style|template|svg|head|title|code|text
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.S | re.I)
 _INLINE = re.compile(r"</?(?:b|i|em|strong|span|a|u|small|big|font|mark|sub|sup|abbr|q|cite)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+_SENTENCE = re.compile(r"([.!?…])\s+")
 
 _SLOT = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\{%[^%]{1,60}%\}|\$\{[^{}]{1,40}\}|<%.{1,60}?%>|\*\|[^|]{1,40}\|\*|\[\[[^\[\]]{1,40}\]\]|##[A-Za-z_ ]{2,40}##|%%[A-Za-z_ ]{2,40}%%"
@@ -104,19 +105,35 @@ _LOCATION = re.compile(r"\(\w+:\d+\)")
 _CODE_NAME = re.compile(r"\$\w+|\"\w+\"(?= of null)|(?<=found: )\w+")
 _INNER_DOT = re.compile(r"\w\.[a-z]")
 _TOKEN = re.compile(r"§\w+|[^\W\d_]+|\d+")
+_BLANKS = re.compile(r"[ \t\r\f\xa0]+")
+_MASKS = (("§path", _PATH), ("§host", _HOSTNAME), ("§loc", _LOCATION), ("§name", _CODE_NAME))
 
 
 
-def passages(page: str | None) -> list[str]:
-    """Windows of visible text. A noscript counts only where a page shows no other text."""
-    if not page:
-        return []
+def visible(page: str) -> str:
+    """Visible text, a line per block. A noscript counts only where a page shows no other text."""
     body = _DROP.sub(" ", page)
-    shown = _NOSCRIPT.sub(" ", body)
-    text = html_lib.unescape(_TAG.sub("\n", _INLINE.sub(" ", shown)))
+    text = html_lib.unescape(_TAG.sub("\n", _INLINE.sub(" ", _NOSCRIPT.sub(" ", body))))
     if not text.strip():
         text = html_lib.unescape(_TAG.sub("\n", _INLINE.sub(" ", " \n".join(_NOSCRIPT.findall(body)))))
-    return [w for w in (re.sub(r"[ \t\r\f\xa0]+", " ", s).strip() for s in _SENTENCE.split(text)) if w]
+    return _BLANKS.sub(" ", text)
+
+
+def passages(page: str | None) -> list[str]:
+    """Windows of visible text: its sentences and lines."""
+    return [w for w in map(str.strip, _SENTENCE.sub("\\1\n", visible(page)).split("\n")) if w] if page else []
+
+
+def page_terms(page: str) -> set[str]:
+    """Distinct folded words of a page, and the masks that occur in it."""
+    text = visible(page)
+    found = set(_TOKEN.findall(fold(text)))
+    numbers = {t for t in found if t.isdigit()}
+    if numbers:
+        found -= numbers
+        found.add("#")
+    found.update(mask for mask, pattern in _MASKS if pattern.search(text))
+    return found
 
 
 def _named_slot(m: re.Match) -> str:
@@ -197,49 +214,50 @@ def vocabulary() -> frozenset[str]:
     return frozenset(t for _, ts in exemplar_terms() for t in ts) | frozenset(FILLER)
 
 
-def _page_terms(html: Column) -> Column:
-    """Distinct folded words of a page's text and the masks that occur in it, without Python."""
-    text = F.regexp_replace(html, r"(?is)" + _DROP.pattern, " ")
-    text = F.regexp_replace(text, r"<[^>]*>", " ")
-    words = F.array_distinct(F.regexp_extract_all(folded(text), F.lit(r"\p{L}+"), F.lit(0)))
-    masks = (("#", r"\d"), ("§path", _PATH.pattern), ("§host", _HOSTNAME.pattern), ("§loc", _LOCATION.pattern), ("§name", _CODE_NAME.pattern))
-    return F.concat(words, F.filter(F.array(*[F.when(text.rlike(p), F.lit(m)) for m, p in masks]), lambda x: x.isNotNull()))
-
-
-def term_pages(pages: DataFrame, html_col: str, words: Iterable[str]) -> tuple[int, dict[str, int]]:
-    """Number of pages with text, and of those that hold each of the given words: one row a word comes to the driver."""
-    vocab = F.array(*[F.lit(w) for w in sorted(words)])
-    shown = pages.filter(F.length(html_col) > 0)
-    found = F.concat(F.array_intersect(_page_terms(F.col(html_col)), vocab), F.array(F.lit("")))
-    counts = {r["t"]: r["count"] for r in shown.select(F.explode(found).alias("t")).groupBy("t").count().collect()}
-    return counts.pop("", 0), counts
+def _term_counts(pages: DataFrame, html_col: str, words: frozenset[str] | None) -> DataFrame:
+    """(t, signed, n): in how many pages each of the given words occurs (None: any word); '' counts the pages.
 
+    `signed` tells pages with all filler signs from the others.
+    """
 
-def filler_words(pages: DataFrame, html_col: str = "html", share: float = 0.01) -> dict[str, int]:
-    """Words of at least `share` of the pages that hold both filler signs (two pages at least), with the number of these pages.
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for h in s:
+                ts = page_terms(h)
+                mark = "+" if ts.issuperset(FILLER_SIGNS) else "-"
+                out.append([mark + t for t in (ts if words is None else ts & words)] + [mark])
+            yield pd.Series(out, dtype=object)
 
-    No more than (words of such a page) / `share` words, whatever the number of pages.
-    """
-    low = F.lower(html_col)
-    signed = pages.filter(F.length(html_col) > 0).filter(low.contains(FILLER_SIGNS[0]) & low.contains(FILLER_SIGNS[1])).select(_page_terms(F.col(html_col)).alias("ts"))
-    signed = signed.filter(F.array_contains("ts", FILLER_SIGNS[0]) & F.array_contains("ts", FILLER_SIGNS[1]))
-    counted = signed.select(F.explode(F.concat("ts", F.array(F.lit("")))).alias("t")).groupBy("t").count()
-    n = counted.filter("t = ''").select("count").first()
-    least = max(2, math.ceil(share * n[0])) if n else 2
-    return {r["t"]: r["count"] for r in counted.filter((F.col("count") >= least) & (F.col("t") != "")).collect()}
+    counted = pages.select(F.explode(known.asNondeterministic()(F.col(html_col))).alias("x")).groupBy("x").count()
+    return counted.select(F.substring("x", 2, 1 << 30).alias("t"), F.col("x").startswith("+").alias("signed"), F.col("count").alias("n"))
 
 
-def learn(pages: DataFrame, html_col: str = "html", only: float = 0.3) -> tuple[dict[str, float], list[str]]:
+def learn(pages: DataFrame, html_col: str = "html", only: float = 0.3, share: float = 0.01) -> tuple[dict[str, float], list[str]]:
     """(inverse document frequencies, learned filler words) over all pages.
 
-    A word is filler when at least `only` of the pages that hold it hold the filler signs too.
+    Candidates are the words of at least `share` of the pages that hold all filler signs (two pages at
+    least), no more than (words of such a page) / `share`; a candidate is filler when at least `only` of all
+    pages that hold it are such pages. One row a word of the fixed vocabulary and one a candidate come to the driver.
     """
-    beside = filler_words(pages, html_col)
+    ensure_checkpoint_dir(pages.sparkSession)
     vocab = vocabulary()
-    n, counts = term_pages(pages, html_col, vocab | {t for t in beside if t[0] not in "#§"})
-    filler = sorted(t for t, c in beside.items() if t not in vocab and c >= only * counts.get(t, c + 1))
-    idf = {t: min(MAX_IDF, math.log((n + 1) / (c + 1))) + 0.05 for t, c in counts.items() if t in vocab}
-    return idf, filler
+    shown = pages.filter(F.length(html_col) > 0)
+    low = F.lower(html_col)
+    signed = _term_counts(shown.filter(low.contains(FILLER_SIGNS[0]) & low.contains(FILLER_SIGNS[1])), html_col, None).filter("signed").checkpoint()
+    total = signed.filter("t = ''").select("n").first()
+    least = max(2, math.ceil(share * total[0])) if total else 2
+    candidates = {r["t"] for r in signed.filter((F.col("n") >= least) & (F.col("t") != "")).select("t").collect() if r["t"] not in vocab and r["t"][0] not in "#§"}
+    counts: dict[str, int] = {}
+    beside: dict[str, int] = {}
+    for r in _term_counts(shown, html_col, vocab | candidates).collect():
+        counts[r["t"]] = counts.get(r["t"], 0) + r["n"]
+        if r["signed"]:
+            beside[r["t"]] = r["n"]
+    n = counts.pop("", 0)
+    filler = sorted(t for t in candidates if beside.get(t, 0) >= only * counts.get(t, 1))
+    return {t: min(MAX_IDF, math.log((n + 1) / (c + 1))) + 0.05 for t, c in counts.items() if t in vocab}, filler
 
 
 def residue_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
