@@ -27,6 +27,18 @@ def test_extreme_curve_flags_by_itself_at_its_length(spark):
     assert {r["id"] for r in stuffing.flagged(df).filter("stuffed").collect()} == {1, 2, 6}
 
 
+def test_any_number_of_languages_gives_the_same_features(spark):
+    rng = random.Random(3)
+    words = {lang: [f"{lang}{chr(97 + i)}{chr(97 + i % 7)}" for i in range(26)] for lang in ("en", "de", "fr", "xx")}
+    rows = [(i, lang, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(5, 60)))) for i, lang in enumerate(["en", "de", "fr", "xx"] * 20)] + [(900, None, "??"), (901, "en", "zz 12 12")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    get = lambda n: {bytes(r["key"]): r for r in stuffing.page_features(df, n).collect()}
+    wide, long = get(40), get(2)
+    assert len(wide) == len(long) == 81
+    for k, r in wide.items():
+        assert r["language"] == long[k]["language"] and all(abs(r[c] - long[k][c]) < 1e-9 for c in ("divergence", "function_share", "slope", "residual", "extent"))
+
+
 # ------------------------------------------------------------------ problem 4
 def _linked(spark, rows):
     city = spark.createDataFrame([("T1", "Saint Novbri", None, "DE"), ("T2", "Golzeldun", "Zelnilsøl", "DE")], "city_key string, city_name string, alt_name string, country_code string")
