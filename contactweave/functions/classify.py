@@ -145,23 +145,45 @@ def browser_error_type(error: Column) -> Column:
 
 
 def scrape_status(url: Column, social: Column, error: Column, contacts: Column) -> Column:
-    """success / no_contacts_found / failed / skipped_social / error."""
+    """success / no_contacts_found / failed / skipped_social / error; contacts found on any page outweigh a page that failed."""
     return (
         F.when(F.coalesce(F.trim(url), F.lit("")) == "", "error")
         .when(social, "skipped_social")
-        .when(F.coalesce(error, F.lit("")) != "", "failed")
         .when(contacts > 0, "success")
+        .when(F.coalesce(error, F.lit("")) != "", "failed")
         .otherwise("no_contacts_found")
     )
 
 
-#: Words of contact pages by place (fixed values).
-CONTACT_WORDS = ("contact", "kontakt", "contacto", "contatti", "contato", "about", "impressum", "imprint", "ueber-uns", "a-propos", "nosotros")
+#: Words of contact pages in address, title and headings, by language (fixed values).
+CONTACT_WORDS = (
+    "contact", "about", "support", "help", "info", "team", "company", "reach", "connect", "touch", "call", "phone", "email", "message",
+    "kontak", "hubungi", "tentang", "layanan", "bantuan", "dukungan", "informasi", "perusahaan", "tim", "kantor", "alamat", "telepon",
+    "contacto", "acerca", "sobre", "soporte", "ayuda", "servicio", "empresa", "equipo", "oficina", "direccion", "telefono", "correo",
+    "propos", "aide", "service", "entreprise", "equipe", "bureau", "adresse", "telephone", "courriel",
+    "kontakt", "uber", "hilfe", "unternehmen", "buro", "telefon", "kundendienst",
+    "contato", "suporte", "ajuda", "atendimento", "escritorio", "endereco", "telefone",
+    "contatto", "riguardo", "supporto", "aiuto", "servizio", "azienda", "ufficio", "indirizzo", "assistenza",
+    "over", "ondersteuning", "hulp", "bedrijf", "kantoor", "adres", "telefoon", "klantenservice",
+)
+#: Words of contact forms, by language (fixed values).
+FORM_WORDS = (
+    "email", "message", "name", "phone", "subject", "inquiry", "comment", "feedback", "question", "request", "contact", "address", "company",
+    "pesan", "nama", "telepon", "subjek", "pertanyaan", "komentar", "masukan", "saran", "permintaan", "kontak", "alamat", "perusahaan",
+    "correo", "mensaje", "nombre", "telefono", "asunto", "consulta", "comentario", "pregunta", "solicitud", "contacto", "direccion", "empresa",
+    "courriel", "nom", "telephone", "sujet", "demande", "commentaire", "requete", "adresse", "entreprise",
+    "nachricht", "telefon", "betreff", "anfrage", "kommentar", "frage", "antrag", "kontakt", "unternehmen",
+    "mensagem", "nome", "telefone", "assunto", "pergunta", "solicitacao", "contato", "endereco",
+    "submit", "send", "enviar", "kirim", "envoyer", "senden", "inviare",
+)
 
 
-def is_contact_page(url: Column, title: Column) -> Column:
-    words = "|".join(CONTACT_WORDS)
-    return F.coalesce(F.lower(url).rlike(words), F.lit(False)) | F.coalesce(F.lower(title).rlike(words), F.lit(False))
+def is_contact_page(html: Column, url: Column, title: Column, headings: Column, forms: Column) -> Column:
+    """A word of contacts stands in the address, the title or a heading, or a form asks for what such forms ask for. Without html: false."""
+    words, asks = "|".join(CONTACT_WORDS), "|".join(FORM_WORDS)
+    says = lambda c, w: F.coalesce(F.lower(c).rlike(w), F.lit(False))
+    any_of = lambda a, w: F.coalesce(F.exists(a, lambda x: F.lower(x).rlike(w)), F.lit(False))
+    return (F.length(F.coalesce(html, F.lit(""))) > 0) & (says(url, words) | says(title, words) | any_of(headings, words) | any_of(forms, asks))
 
 
 def is_html_like(text: Column) -> Column:

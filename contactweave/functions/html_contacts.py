@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin, urlsplit
@@ -21,9 +22,37 @@ from contactweave.functions.contacts import DEOBFUSCATION, EMAIL_PATTERN, MESSEN
 CONTACT_TYPE = T.ArrayType(
     T.StructType([T.StructField(n, T.StringType()) for n in ("field", "value", "platform", "place")] + [T.StructField("ord", T.IntegerType())])
 )
-#: Paths and words of links that lead to a contact page, best first (fixed values).
-CONTACT_PATHS = ("/contact", "/contact-us", "/kontakt", "/contacto", "/contatti", "/about", "/about-us", "/impressum", "/imprint")
-CONTACT_TEXT = ("contact", "kontakt", "contacto", "contatti", "contato", "get in touch", "reach us", "about", "impressum")
+# ---------------------------------------------------------------- fixed values: links and pages about contacts
+#: Paths of links that lead to a contact page.
+CONTACT_PATHS = (
+    "/contact", "/contact-us", "/contacts", "/contactus", "/contact_us", "/about", "/about-us", "/aboutus", "/about_us", "/company",
+    "/support", "/customer-service", "/customer_support", "/help",
+    "/kontak", "/hubungi", "/hubungi-kami", "/tentang", "/tentang-kami", "/layanan", "/bantuan", "/dukungan", "/informasi",
+    "/info", "/information", "/reach-us", "/get-in-touch",
+)
+#: Words in the text of such links, by language.
+CONTACT_TEXT = (
+    "contact", "about", "support", "customer", "sales", "info", "help", "cs", "service", "team", "staff", "office", "reach", "connect", "get in touch", "talk to us", "call us",
+    "email us", "message", "inquiry", "enquiry", "feedback", "company", "business", "corporate",
+    "kontak", "hubungi", "tentang", "layanan", "bantuan", "dukungan", "informasi", "perusahaan", "tim", "kantor", "alamat", "telepon", "email", "formulir", "pertanyaan", "masukan", "saran",
+    "acerca", "sobre", "soporte", "ayuda", "servicio", "empresa", "equipo", "oficina", "direccion", "telefono", "correo", "consulta",
+    "propos", "aide", "entreprise", "equipe", "bureau", "adresse", "telephone", "courriel", "demande", "assistance",
+    "uber", "hilfe", "unternehmen", "buro", "telefon", "formular", "anfrage", "kundendienst",
+    "contato", "suporte", "ajuda", "atendimento", "escritorio", "endereco", "telefone", "servico",
+    "contatto", "riguardo", "aiuto", "servizio", "azienda", "ufficio", "indirizzo", "modulo", "richiesta", "assistenza",
+    "over", "ondersteuning", "hulp", "bedrijf", "adres", "telefoon", "vraag", "klantenservice",
+    "phone", "tel", "fax", "address", "location", "map", "directions", "hours", "schedule", "appointment", "booking", "reservation", "quote", "estimate", "demo", "trial", "consultation", "meeting",
+)
+#: Variables of scripts whose object may hold profiles.
+SCRIPT_NAMES = (
+    "window.data", "window.__data", "window.__NEXT_DATA__", "window.config", "window.__INITIAL_STATE__", "window.__APP_STATE__", "window.INITIAL_STATE",
+    "var socialLinks", "const social", "var contacts", "const config",
+)
+#: Tags, ids and classes of the parts of a page that are searched first.
+PARTS = {
+    "header": (("header", "nav"), ("header", "nav"), ("header", "site-header", "main-header", "navbar", "navigation")),
+    "footer": (("footer",), ("footer",), ("footer", "site-footer", "main-footer")),
+}
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HIDDEN = {"script", "style", "template", "noscript"}
@@ -35,6 +64,9 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
+        self.parts: list[str] = []
+        self.headings: list[str] = []
+        self.forms: list[str] = []
         self.text: list[tuple[str, str]] = []
         self.links: list[list[str]] = []
         self.attrs: list[tuple[str, str, str]] = []
@@ -48,14 +80,27 @@ class _Page(HTMLParser):
         self._prop: str | None = None
 
     def place(self) -> str:
-        return "header" if "header" in self.stack else "footer" if "footer" in self.stack else "page"
+        return "header" if "header" in self.parts else "footer" if "footer" in self.parts else "page"
+
+    def description(self) -> str:
+        return next((v for k, v in self.metas if k == "description"), "")
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag not in _VOID:
             self.stack.append(tag)
+            classes = set(a.get("class", "").split())
+            self.parts.append(next((p for p, (tags, ids, names) in PARTS.items() if tag in tags or a.get("id") in ids or classes.intersection(names)), ""))
+        if tag in ("h1", "h2", "h3"):
+            self.headings.append("")
+        if tag == "form":
+            self.forms.append("")
+        if tag in ("input", "textarea", "select") and "form" in self.stack:
+            self.forms[-1] += " " + " ".join((a.get("name", ""), a.get("placeholder", ""), a.get("id", "")))
+        if tag in ("i", "svg", "img", "span") and self._open is not None:
+            self._open[3] += " " + " ".join((a.get("class", ""), a.get("alt", ""), a.get("title", "")))
         if tag == "a" and "href" in a:
-            self._open = [a["href"].strip(), "", self.place()]
+            self._open = [a["href"].strip(), "", self.place(), " ".join((a.get("class", ""), a.get("title", ""), a.get("aria-label", "")))]
             self.links.append(self._open)
         if tag == "meta":
             self.metas.append(((a.get("property") or a.get("name") or "").lower(), a.get("content", "")))
@@ -76,8 +121,10 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in self.stack:
-            while self.stack and self.stack.pop() != tag:
-                pass
+            while self.stack:
+                self.parts.pop()
+                if self.stack.pop() == tag:
+                    break
         if tag == "a":
             self._open = None
         self._prop = None
@@ -94,6 +141,10 @@ class _Page(HTMLParser):
             return
         if self._open is not None:
             self._open[1] += data
+        if self.headings and any(t in self.stack for t in ("h1", "h2", "h3")):
+            self.headings[-1] += data
+        if self.forms and "form" in self.stack:
+            self.forms[-1] += data
         if self._prop:
             self.items.append((self._prop, data.strip()))
         if data.strip():
@@ -125,38 +176,49 @@ def decode_hex_email(code: str) -> str | None:
 
 
 def json_contacts(blob) -> list[tuple[str, str]]:
-    """(field, value) of every contact key of a JSON-LD tree, however nested."""
+    """(field, value) of every contact key of a JSON-LD tree, however nested, values alone or in lists."""
+    fields = {"email": "email", "telephone": "phone", "phone": "phone", "faxnumber": "phone", "sameas": "url", "url": "url"}
     out: list[tuple[str, str]] = []
-    todo = [blob]
+    todo = deque([blob])
     while todo:
-        node = todo.pop(0)
+        node = todo.popleft()
         if isinstance(node, list):
             todo.extend(node)
         elif isinstance(node, dict):
             for k, v in node.items():
-                low = k.lower()
-                if isinstance(v, str):
-                    if low == "email":
-                        out.append(("email", v.removeprefix("mailto:")))
-                    elif low in ("telephone", "phone", "faxnumber"):
-                        out.append(("phone", v))
-                    elif low in ("sameas", "url"):
-                        out.append(("url", v))
-                elif isinstance(v, list) and low == "sameas":
-                    out += [("url", x) for x in v if isinstance(x, str)]
-                elif isinstance(v, (dict, list)):
+                field = fields.get(k.lower())
+                if field:
+                    out += [(field, x.removeprefix("mailto:")) for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)]
+                if isinstance(v, (dict, list)):
                     todo.append(v)
     return out
 
 
+def json_profiles(blob) -> list[str]:
+    """Values under keys that name a platform, however nested."""
+    out: list[str] = []
+    todo = deque([blob])
+    while todo:
+        node = todo.popleft()
+        if isinstance(node, list):
+            todo.extend(node)
+        elif isinstance(node, dict):
+            out += [v for k, v in node.items() if isinstance(v, str) and any(p in k.lower() for p in SOCIAL_PATTERNS)]
+            todo.extend(v for v in node.values() if isinstance(v, (dict, list)))
+    return out
+
+
 def script_json(text: str) -> list:
-    """JSON objects assigned to variables in a script."""
+    """JSON objects that follow the known variable names in a script."""
     out, decoder = [], json.JSONDecoder()
-    for m in re.finditer(r"(?:__INITIAL_STATE__|__NEXT_DATA__|__PRELOADED_STATE__|__APOLLO_STATE__|siteData|pageData|wixData|config|settings|data)\s*[=:]\s*(?=\{)", text):
-        try:
-            out.append(decoder.raw_decode(text, m.end())[0])
-        except ValueError:
-            continue
+    for name in SCRIPT_NAMES:
+        at = text.find(name)
+        start = text.find("{", at) if at >= 0 else -1
+        if start >= 0:
+            try:
+                out.append(decoder.raw_decode(text, start)[0])
+            except ValueError:
+                continue
     return out
 
 
@@ -180,7 +242,7 @@ def contacts(html: str | None) -> list[tuple[str, str, str | None, str, int]]:
             if m:
                 found[place].append(("social", m[0] if m[0].startswith("http") else "https://" + m[0], platform))
 
-    for href, _text, place in page.links:
+    for href, _text, place, icon in page.links:
         low = href.lower()
         if low.startswith("mailto:"):
             for x in unquote(href[7:].split("?")[0]).split(","):
@@ -195,6 +257,10 @@ def contacts(html: str | None) -> list[tuple[str, str, str | None, str, int]]:
         for p in MESSENGER_PATTERNS:
             found[place] += [("whatsapp", "+" + n.lstrip("+"), None) for n in re.findall(p, href)]
         social(href, place)
+        if icon.strip() and href.startswith("http"):
+            for platform in SOCIAL_PATTERNS:  # an icon or label names the platform of a shortened address
+                if platform in icon.lower() and platform in low:
+                    found[place].append(("social", href, platform))
     for k, v, place in page.attrs:
         x = decode_hex_email(v) if k == "data-cfemail" else None
         for e in [x] if x else mail.findall(v):
@@ -211,11 +277,9 @@ def contacts(html: str | None) -> list[tuple[str, str, str | None, str, int]]:
                 found["structured"].append((field, value.strip().lower() if field == "email" else value.strip(), None))
     for blob in page.scripts:
         for tree in script_json(blob):
-            for field, value in json_contacts(tree):
-                if field == "url":
-                    social(value, "structured")
-                else:
-                    found["structured"].append((field, value.strip().lower() if field == "email" else value.strip(), None))
+            for value in json_profiles(tree):
+                social(value, "structured")
+        social(blob, "page")
     for prop, value in page.items:
         if prop == "email" and value:
             found["structured"].append(("email", value.removeprefix("mailto:").lower(), None))
@@ -230,6 +294,8 @@ def contacts(html: str | None) -> list[tuple[str, str, str | None, str, int]]:
         found[place] += [("email", e.lower(), None) for e in mail.findall(_deobfuscate(text))]
         found[place] += [("phone", p.strip(), None) for p in re.findall(PHONE_PATTERN, text) if len(p.strip()) >= 7 and sum(c.isdigit() for c in p) >= 7]
         social(text, place)
+    for p in MESSENGER_PATTERNS:  # numbers that stand anywhere in the page's source
+        found["page"] += [("whatsapp", "+" + n.lstrip("+"), None) for n in re.findall(p, html)]
     out, seen = [], set()
     for place in ("header", "footer", "structured", "page"):
         for field, value, platform in found[place]:
@@ -249,25 +315,23 @@ def html_contacts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def contact_links(html: str | None, base: str | None, most: int = 5) -> list[str]:
-    """Links of the same site that lead to a contact page: known paths first, then words in the link's text."""
+    """The first links of the same site, in document order, whose path or text speaks of contacts; one per path."""
     if not html or not base:
         return []
     site = urlsplit(base)
-    ranked: list[tuple[int, int, str]] = []
-    for i, (href, text, _p) in enumerate(parse_page(html).links):
-        if re.match(r"(?i)(javascript|mailto|tel):", href):
+    root = f"{site.scheme}://{site.netloc}"
+    out: dict[str, str] = {}
+    for href, text, _place, _icon in parse_page(html).links:
+        if not href or href.startswith(("javascript:", "mailto:", "tel:")):
             continue
-        u = urlsplit(urljoin(base, href))
-        if u.netloc.lower() != site.netloc.lower():
+        try:
+            link = urljoin(base, href)
+            path = urlsplit(link).path.lower()
+        except ValueError:
             continue
-        path = u.path.lower().rstrip("/")
-        if path in CONTACT_PATHS:
-            ranked.append((CONTACT_PATHS.index(path), i, u.geturl()))
-        elif any(w in text.lower() or w in path for w in CONTACT_TEXT):
-            ranked.append((len(CONTACT_PATHS), i, u.geturl()))
-    out: dict[str, str] = {}
-    for _r, _i, link in sorted(ranked):
-        out.setdefault(urlsplit(link).path, link)
+        low = text.strip().lower()
+        if link.startswith(root) and path not in out and (any(p in path for p in CONTACT_PATHS) or any(w in low for w in CONTACT_TEXT)):
+            out[path] = link
     return list(out.values())[:most]
 
 
@@ -277,6 +341,22 @@ def html_contact_links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterat
         yield pd.Series([contact_links(h, b) for h, b in zip(html, base)], dtype=object)
 
 
+FACTS_TYPE = T.StructType(
+    [T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("forms", T.ArrayType(T.StringType()))]
+)
+
+
+@F.pandas_udf(FACTS_TYPE)
+def html_facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """`html -> struct<title, description, headings, forms>`; a form is its text with the names of its fields."""
+    for s in batches:
+        rows = []
+        for h in s:
+            page = parse_page(h or "")
+            rows.append((page.title, page.description(), page.headings, page.forms))
+        yield pd.DataFrame(rows, columns=FACTS_TYPE.names)
+
+
 @F.pandas_udf(T.StringType())
 def html_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
@@ -292,5 +372,18 @@ class HtmlLinks:
 
     def eval(self, html: str, base: str):
         if html:
-            for href, text, place in parse_page(html).links:
+            for href, text, place, _icon in parse_page(html).links:
                 yield urljoin(base or "", href), text.strip(), place
+
+
+@F.udtf(returnType="field string, value string")
+class JsonLdContacts:
+    """Table function: e-mails, telephones and links of the JSON-LD blocks of a page, in order."""
+
+    def eval(self, html: str):
+        for blob in parse_page(html or "").json_ld:
+            try:
+                tree = json.loads(blob)
+            except ValueError:
+                continue
+            yield from json_contacts(tree)

@@ -87,3 +87,34 @@ def check_whatsapp(raw: str | None, region: str | None = None) -> tuple[bool, st
 def validate_whatsapp(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for raw, region in batches:
         yield pd.DataFrame([check_whatsapp(a, b) for a, b in zip(raw, region)], columns=WHATSAPP_TYPE.names)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalize_phones(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """`(numbers, region) -> numbers`: E.164 where a number is valid, else as it was; distinct, in order."""
+    for numbers, regions in batches:
+        out = []
+        for values, region in zip(numbers, regions):
+            got = (parse(v, region) for v in (values if values is not None else ()))
+            out.append(list(dict.fromkeys(g[0] if g[3] == "valid" else v for g, v in zip(got, values if values is not None else ()))))
+        yield pd.Series(out, dtype=object)
+
+
+CHECKED_TYPE = T.ArrayType(
+    T.StructType([T.StructField("number", T.StringType()), T.StructField("valid", T.BooleanType())] + [T.StructField(n, T.StringType()) for n in ("type", "country", "reason")])
+)
+
+
+@F.pandas_udf(CHECKED_TYPE)
+def check_whatsapps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """`(numbers, region) -> array<struct<number, valid, type, country, reason>>` of the distinct numbers that aren't blank."""
+    for numbers, regions in batches:
+        out = []
+        for values, region in zip(numbers, regions):
+            distinct = dict.fromkeys(v.strip() for v in (values if values is not None else ()) if v and v.strip())
+            rows = []
+            for v in distinct:
+                ok, _formatted, country, kind, reason = check_whatsapp(v, region)
+                rows.append({"number": v, "valid": ok, "type": kind, "country": country, "reason": reason})
+            out.append(rows)
+        yield pd.Series(out, dtype=object)

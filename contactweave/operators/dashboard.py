@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactweave.functions.common import country_code as code_of
-from contactweave.functions.common import round_as_decimal
+from contactweave.functions.common import round_as_decimal, session_id
 from contactweave.session import AS_OF
 
 
@@ -77,7 +77,7 @@ def country_stats(contacts: DataFrame) -> DataFrame:
         *[_count(F.col(f"has_{k}")).alias(f"rows_with_{k}") for k in ("email", "whatsapp")],
         round_as_decimal(F.avg("scrape_time_seconds"), 2).alias("avg_scrape_time"),
         F.max("updated_at").alias("last_activity"),
-    )
+    ).orderBy(F.desc("total_rows"), "country_code", "country_name")
 
 
 def hourly_stats(contacts: DataFrame, as_of: str = AS_OF, interval: str = "7 DAYS") -> DataFrame:
@@ -96,7 +96,7 @@ def hourly_stats(contacts: DataFrame, as_of: str = AS_OF, interval: str = "7 DAY
         *[F.sum(c).alias(c) for c in ("rows_processed", "success_count", "failed_count", *[f"{k}_found" for k in found])],
         round_as_decimal(F.sum("seconds") / F.nullif(F.sum("timed"), F.lit(0)), 2).alias("avg_time"),
         F.count("last_scrape_server").alias("active_servers"),
-    )
+    ).orderBy(F.desc("hour"))
 
 
 def hourly_rollup(contacts: DataFrame, as_of: str = AS_OF, interval: str = "7 DAYS") -> DataFrame:
@@ -253,3 +253,37 @@ def export(
     if until:
         cond &= F.col("updated_at") < F.lit(until).cast("timestamp_ntz")
     return contacts.filter(cond).orderBy("id").limit(min(limit, 100_000)).select(*columns)
+
+
+def register(servers: DataFrame, server: str, as_of: str = AS_OF) -> DataFrame:
+    """The server table with `server` online in a new session whose counters start at nothing; a server it lacks is added."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    new = servers.sparkSession.createDataFrame([(server,)], "server_id string")
+    both = servers.join(new.withColumn("__new", F.lit(True)), "server_id", "full_outer")
+    hit = F.col("__new").isNotNull()
+    counters = ("total_processed", "total_success", "total_failed", "total_emails_found")
+    values = {c: F.when(hit, F.lit(0).cast("long")).otherwise(F.col(c)) for c in counters}
+    values |= {"status": F.when(hit, "online").otherwise(F.col("status")), "session_id": F.when(hit, session_id(F.col("server_id"), now)).otherwise(F.col("session_id"))}
+    values |= {c: F.when(hit, now).otherwise(F.col(c)) for c in ("started_at", "last_heartbeat")}
+    return both.select(*[values[c].alias(c) if c in values else F.col(c) for c in servers.columns])
+
+
+def unregister(servers: DataFrame, server: str) -> DataFrame:
+    """The server table with `server` offline and without a task."""
+    hit = F.col("server_id") == server
+    return servers.withColumn("status", F.when(hit, "offline").otherwise(F.col("status"))).withColumn("current_task", F.when(~hit, F.col("current_task")))
+
+
+def health_summary(probes: DataFrame, ok: Column, seconds: str) -> DataFrame:
+    """One row: probes, good and bad ones, mean seconds of the good ones, their share in per cent."""
+    good = F.coalesce(ok, F.lit(False))
+    n = F.count(F.when(good, 1))
+    return probes.agg(
+        F.count("*").alias("probes"), n.alias("ok"), (F.count("*") - n).alias("bad"), F.round(F.coalesce(F.avg(F.when(good, F.col(seconds))), F.lit(0.0)), 3).alias("avg_seconds"),
+        _percent(n, F.count("*")).alias("ok_percent"),
+    )
+
+
+def materialise(report: DataFrame, path: str) -> None:
+    """Write a report for readers that must not wait for it; a scheduled run of this is its refresh."""
+    report.coalesce(1).write.mode("overwrite").parquet(path)

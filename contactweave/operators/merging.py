@@ -16,6 +16,16 @@ SOCIALS = ("social_facebook", "social_instagram", "social_tiktok", "social_youtu
 OVERWRITTEN = ("scrape_final_url", "scrape_was_redirected", "scrape_status", "scrape_error", "scrape_time_seconds", "scrape_pages_count", "last_scrape_server")
 
 
+#: Names of the countries that contacts are shown with (fixed values).
+COUNTRY_NAMES = {
+    "US": "United States", "GB": "United Kingdom", "CA": "Canada", "AU": "Australia", "DE": "Germany", "FR": "France", "IT": "Italy", "ES": "Spain", "JP": "Japan", "KR": "South Korea", "CN": "China",
+    "IN": "India", "BR": "Brazil", "MX": "Mexico", "ID": "Indonesia", "SG": "Singapore", "MY": "Malaysia", "TH": "Thailand", "VN": "Vietnam", "PH": "Philippines", "NL": "Netherlands", "BE": "Belgium",
+    "CH": "Switzerland", "AT": "Austria", "SE": "Sweden", "NO": "Norway", "DK": "Denmark", "FI": "Finland", "PL": "Poland", "CZ": "Czech Republic", "RU": "Russia", "UA": "Ukraine", "TR": "Turkey",
+    "SA": "Saudi Arabia", "AE": "UAE", "ZA": "South Africa", "EG": "Egypt", "NG": "Nigeria", "KE": "Kenya", "NZ": "New Zealand", "AR": "Argentina", "CL": "Chile", "CO": "Colombia", "PE": "Peru",
+    "PT": "Portugal", "IE": "Ireland", "IL": "Israel",
+}
+
+
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key, the greatest by `order`: aggregated partially before the shuffle, no window."""
     rest = [c for c in df.columns if c != key]
@@ -172,3 +182,60 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFr
     offsets = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
     local = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
     return written.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(name, local + F.col("__o") + 1).drop("__p", "__m", "__o")
+
+
+def round_robin(jobs: DataFrame, order: Sequence[str], endpoints: DataFrame, key: str) -> DataFrame:
+    """`jobs` with `turn` (from 0, by `order`) and the endpoint whose turn it is; without endpoints `key` is null.
+
+    The endpoints are numbered by name; their list is joined by its number, so neither side is collected.
+    """
+    numbered = row_numbers(endpoints.select(key).distinct(), [key], "slot").withColumn("slot", F.col("slot") - 1)
+    n = numbered.count()
+    turns = row_numbers(jobs, order, "turn").withColumn("turn", F.col("turn") - 1)
+    return turns.withColumn("slot", F.pmod("turn", F.lit(n)) if n else F.lit(None).cast("long")).join(numbered, "slot", "left").drop("slot")
+
+
+def still_usable(endpoints: DataFrame, failed: DataFrame, key: str) -> DataFrame:
+    """Endpoints that have not failed; all of them when every one has."""
+    left = endpoints.join(failed.select(key).distinct(), key, "left_anti")
+    return endpoints if left.isEmpty() else left
+
+
+def prepared_contacts(rows: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """Rows for the contact table from listing records of the JSON source and what enrichment found.
+
+    `rows` holds the columns of `readers.parse_results` and, where enriched, `emails`, `phones`, `whatsapp` (arrays or
+    lists joined by ';'), `facebook` .. `youtube`, `final_url`, `was_redirected`, `scraping_status`, `scraping_error`,
+    `processing_time`, `pages_scraped`, `server_id`. A column that is missing takes its default; rows without a link are dropped.
+    """
+    kinds = dict(rows.dtypes)
+    text = lambda c, d="": F.coalesce(F.col(c).cast("string"), F.lit(d)) if c in kinds else F.lit(d)
+    maybe = lambda c, t="string": F.nullif(F.col(c).cast("string"), F.lit("")).cast(t) if c in kinds else F.lit(None).cast(t)
+    none = F.array().cast("array<string>")
+
+    def items(c: str) -> Column:
+        if c not in kinds:
+            return none
+        a = F.col(c) if kinds[c].startswith("array") else F.split(F.col(c), ";")
+        return F.coalesce(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), none)
+
+    filled = lambda *cs: F.coalesce(*[F.nullif(text(c), F.lit("")) for c in cs], F.lit(""))
+    country = F.upper(F.trim(text("country")))
+    named = F.create_map(*[F.lit(x) for pair in COUNTRY_NAMES.items() for x in pair])
+    values = {
+        "source_link": filled("link", "url"), "country_code": F.when(country.rlike("^[A-Z]{2}$"), country).otherwise("XX"),
+        "business_name": filled("name", "title"), "business_category": text("category"), "business_website": filled("url", "domain"),
+        **{c: text(c) for c in ("city", "state", "borough", "street", "address", "postal_code", "timezone")},
+        "latitude": maybe("latitude", "double"), "longitude": maybe("longitude", "double"),
+        "gmaps_phone": text("phone"), "gmaps_rating": maybe("review_rating", "double"), "gmaps_review_count": maybe("review_count", "int"), "gmaps_cid": text("cid"), "gmaps_data_id": text("data_id"),
+        "gmaps_price_range": text("price_range"), "gmaps_status": text("claimed"), "gmaps_domain": text("domain"), "gmaps_plus_code": text("plus_code"), "gmaps_thumbnail": text("thumbnail"),
+        "gmaps_featured_image": text("featured_image"), "source_id": maybe("result_id", "long"),
+        **{c: items(c) for c in ARRAYS}, **{f"{c}_count": F.size(items(c)) for c in ARRAYS}, **{f"social_{p}": maybe(p) for p in ("facebook", "instagram", "tiktok", "youtube")},
+        "scrape_final_url": filled("final_url", "url"), "scrape_was_redirected": F.lower(text("was_redirected")).isin("true", "1", "yes"), "scrape_status": filled("status", "scraping_status"),
+        "scrape_error": filled("error", "scraping_error"), "scrape_time_seconds": F.coalesce(maybe("processing_time", "double"), F.lit(0.0)), "scrape_pages_count": F.coalesce(maybe("pages_scraped", "int"), F.lit(0)),
+        "last_scrape_server": text("server_id", "unknown"), "scrape_count": F.lit(1), "last_scrape_at": F.lit(as_of).cast("timestamp_ntz"),
+    }
+    out = rows.select(*[v.alias(c) for c, v in values.items()]).filter(F.col("source_link") != "")
+    return out.withColumn("partition_key", partition_key(F.col("source_link"))).withColumn("country_name", F.coalesce(F.element_at(named, F.col("country_code")), F.lit(""))).withColumn(
+        "scrape_status", F.when(F.col("scrape_status") == "", "unknown").otherwise(F.col("scrape_status"))
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contactweave.functions.common import first_filled, formula_guard, join_list, safe_div, sheet_value, split_list
 from contactweave.functions.urls import was_redirected
+from contactweave.functions.validate import format_validated
 
 #: Columns of the processed listing file, in order (fixed values).
 OUTPUT_COLUMNS = (
@@ -24,7 +25,12 @@ ALIASES = {
     "email": ("email", "emails", "email_address"),
     "url": ("url", "website", "link", "site", "domain"),
 }
-_USEFUL = ("name", "title", "street", "address", "city", "country", "url", "website", "phone", "email", "categor", "facebook", "instagram", "complete_address")
+#: Columns read by their exact name, and words that make any other column worth reading (fixed values).
+_EXACT = (
+    "name", "street", "city", "country_code", "url", "phone_number", "google_business_categories", "facebook", "instagram", "email",
+    "title", "website", "phone", "category", "complete_address", "emails",
+)
+_USEFUL = ("title", "name", "category", "address", "phone", "emails", "email", "facebook", "instagram", "linkedin", "twitter", "whatsapp", "website", "complete_address")
 _ADDRESS = "street string, city string, state string, country string, postal_code string"
 
 
@@ -34,8 +40,9 @@ def url_column(columns: Sequence[str]) -> str | None:
 
 
 def useful_columns(columns: Sequence[str]) -> list[str]:
-    """Columns worth reading, without unnamed ones."""
-    return [c for c in columns if not c.startswith("Unnamed:") and any(u in c.lower() for u in _USEFUL)]
+    """Columns worth reading, without unnamed ones: the address, the exact names, and what holds a useful word."""
+    url = url_column(columns)
+    return [c for c in columns if not c.startswith("Unnamed:") and (c == url or c in _EXACT or any(u in c.lower() for u in _USEFUL))]
 
 
 def aliased(df: DataFrame, name: str) -> Column:
@@ -62,6 +69,14 @@ def wide_columns(items: Column, prefix: str, n: int) -> list[Column]:
     return [F.coalesce(F.get(items, F.lit(i)), F.lit("")).alias(f"{prefix}_{i + 1}") for i in range(n)]
 
 
+def format_whatsapp(results: Column) -> Column:
+    """'number (valid:..., type:..., country:..., reason:...)' joined by '; '."""
+    one = lambda x: F.concat(
+        x["number"], F.lit(" (valid:"), F.when(x["valid"], "True").otherwise("False"), F.lit(", type:"), x["type"], F.lit(", country:"), x["country"], F.lit(", reason:"), x["reason"], F.lit(")")
+    )
+    return F.array_join(F.transform(F.coalesce(results, F.array().cast("array<struct<number:string,valid:boolean,type:string,country:string,reason:string>>")), one), "; ")
+
+
 def validated_columns(text: Column, prefix: str, n: int) -> list[Column]:
     """Address and status of 'address (status)' or 'address (reason:..., ...)' items; no brackets: unknown."""
     items = F.filter(F.transform(F.split(text, r";"), lambda x: F.trim(x)), lambda x: x != "")
@@ -97,9 +112,14 @@ def wide_form(df: DataFrame, n: int = 10, keep: Sequence[str] | None = None) ->
 def output_rows(df: DataFrame, row_number: Column) -> DataFrame:
     """The 29 columns of the processed file from listing columns and the enriched arrays."""
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
     values = {c: blank(c) for c in OUTPUT_COLUMNS}
+    counted = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)) if c in df.columns else F.lit(0)
     values |= {
+        "validated_emails": format_validated(F.col("checked_emails")) if "checked_emails" in df.columns else blank("validated_emails"),
+        "validated_whatsapp": format_whatsapp(F.col("checked_whatsapp")) if "checked_whatsapp" in df.columns else F.lit(""),
+        "validated_emails_count": counted("checked_emails"),
+        "validated_whatsapp_count": counted("checked_whatsapp"),
         "No": row_number.cast("string"),
         "was_redirected": was_redirected(blank("url"), blank("final_url")),
         **{c: join_list(F.col(c)) for c in ("emails", "phones", "whatsapp")},
@@ -123,6 +143,21 @@ def report(df: DataFrame) -> DataFrame:
     )
 
 
+def wide_report(df: DataFrame, n: int = 10) -> DataFrame:
+    """One row of figures over the wide form: rows, rows with contacts and valid e-mails, contacts of each kind."""
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+    w = wide_form(df, n, keep=[])
+    return w.agg(
+        F.count("*").alias("total_rows"), F.count(F.when(F.col("has_contacts"), 1)).alias("rows_with_contacts"), F.count(F.when(F.col("has_valid_emails"), 1)).alias("rows_with_valid_emails"),
+        total("total_emails_extracted").alias("total_emails"), total("total_phones_extracted").alias("total_phones"), total("total_whatsapp_extracted").alias("total_whatsapp"),
+        total("total_validated_emails").alias("total_validated_emails"), F.round(safe_div(F.count(F.when(F.col("has_contacts"), 1)) * F.lit(100.0), F.count("*")), 2).alias("contact_rate"),
+    )
+
+
+#: Columns of the result for a single address (fixed values).
+SINGLE_COLUMNS = ("url", "final_url", "was_redirected", "emails", "phones", "whatsapp", "facebook", "instagram", "tiktok", "youtube", "scraping_status", "processing_time", "pages_scraped")
+
+
 def top_errors(df: DataFrame, col: str = "scraping_error", top: int = 5) -> DataFrame:
     """Most frequent errors, ties by text."""
     return (
@@ -141,13 +176,13 @@ def sheet_summary(df: DataFrame, sheet: str = "sheet_name") -> DataFrame:
     return per.unionByName(total)
 
 
-def sheet_export(df: DataFrame, columns: Sequence[str], most: int = 4) -> DataFrame:
+def sheet_export(df: DataFrame, columns: Sequence[str], most: int = 4, width: int | None = None) -> DataFrame:
     """Sheet-shaped rows: placeholders blanked, formulas guarded, at most `most` e-mail columns.
 
-    E-mail columns exist only as far as any row needs them; that width is one aggregate.
+    E-mail columns exist only as far as any row needs them; that width is one aggregate, unless it is given.
     """
     mails = F.slice(F.filter(split_list(F.col("emails")), lambda e: ~F.lower(e).isin("nan", "none", "null", "-")), 1, most)
-    width = df.agg(F.coalesce(F.max(F.size(mails)), F.lit(0))).first()[0]
+    width = df.agg(F.coalesce(F.max(F.size(mails)), F.lit(0))).first()[0] if width is None else width
     return df.select(
         *[formula_guard(sheet_value(F.col(c).cast("string"))).alias(c) for c in columns],
         *wide_columns(mails, "email", max(1, min(most, width))),

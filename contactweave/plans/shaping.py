@@ -132,9 +132,21 @@ def sheet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postprocess.sheet_summary(_processed(spark, sf_dir))
 
 
-@R.add("sheet_export")
+def _sheet(c: str) -> str:
+    blank = f"CASE WHEN {c} IS NULL OR lower(trim({c})) IN ('nan', 'none', 'null', '-') THEN '' ELSE {c} END"
+    return f"CASE WHEN regexp_matches({blank}, '^[=+\\-@]') THEN chr(39) || {blank} ELSE {blank} END"
+
+
+_MAIL = f"list_filter({_ITEMS.format(_LIST.format('emails'))}, lambda x: lower(x) NOT IN ('nan', 'none', 'null', '-'))"
+
+
+@R.add(
+    "sheet_export",
+    f"""SELECT CAST(id AS VARCHAR) AS id, {_sheet('business_name')} AS name, {_sheet('address')} AS street, {_sheet('country_code')} AS country_code, {_sheet('business_website')} AS url,
+ {", ".join(f"coalesce({_MAIL}[{i}], '') AS email_{i}" for i in range(1, 5))} FROM zen_contacts""",
+)
 def sheet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postprocess.sheet_export(_processed(spark, sf_dir), ["id", "name", "street", "country_code", "url"])
+    return postprocess.sheet_export(_processed(spark, sf_dir), ["id", "name", "street", "country_code", "url"], width=4)
 
 
 @R.add(
@@ -211,7 +223,12 @@ def instant_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", F.round(rates.instant_rate(F.col("n_recent"), F.col("recent_span"), F.lit(0.0)), 6).alias("rate"))
 
 
-@R.add("ema_rate")
+_EMA = f"""WITH r AS (SELECT id, server, n, {_RATE} AS rate FROM {_CUM}),
+ l AS (SELECT id, server, list(rate) OVER (PARTITION BY server ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rates FROM r)
+ SELECT id, server, round(list_reduce(rates, lambda s, x: 0.2::DOUBLE * x + 0.8::DOUBLE * s), 6) AS smoothed FROM l"""
+
+
+@R.add("ema_rate", _EMA)
 def ema_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rates.cumulative_rates(_done(spark, sf_dir), "server", "ts", "id")
     return rates.smoothed_rates(r, "server", "ts", "id").select("id", "server", F.round("smoothed", 6).alias("smoothed"))

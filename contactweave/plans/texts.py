@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactweave.functions import classify, contacts, urls, validate
 from contactweave.functions.common import country_code, duration_text, eta_text, formula_guard, sheet_value, split_list, strip_processed
-from contactweave.functions.html_contacts import html_contact_links, html_contacts, html_text
+from contactweave.functions.html_contacts import html_contact_links, html_contacts, html_facts, html_text
 from contactweave.functions.phones import normalize_phone, validate_whatsapp
 from contactweave.plans.registry import Registry
 from contactweave.session import table
@@ -159,12 +159,6 @@ def doc_text_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(contacts.text_emails(F.col("text")), ",").alias("emails"))
 
 
-@R.add("doc_phones")
-def doc_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
-    return d.select("doc_id", F.array_join(contacts.phones_in(F.col("text")), "|").alias("phones"))
-
-
 _FLAT = "(SELECT id, unnest(emails) AS e FROM zen_contacts)"
 _LOCALS = ", ".join(f"'{x}'" for x in contacts.PLACEHOLDER_LOCALS)
 _DOMAINS = ", ".join(f"'{x}'" for x in contacts.PLACEHOLDER_DOMAINS)
@@ -198,12 +192,6 @@ def email_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", "email", contacts.is_plausible_local(F.regexp_extract("email", r"^([^@]*)@", 1)).alias("plausible"))
 
 
-@R.add("email_normalized")
-def email_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "sample_input").filter(F.col("email").isNotNull())
-    return s.select("listing_id", "email", contacts.normalize_email(F.col("email")).alias("normal"))
-
-
 _FORM = "(regexp_full_match(e, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AND length(regexp_extract(e, '^([^@]*)@', 1)) <= 64 AND NOT contains(e, '..'))"
 _D = "regexp_extract(e, '@(.*)$', 1)"
 _BIG = ", ".join(f"'{x}'" for x in validate.BIG_PROVIDERS)
@@ -314,18 +302,23 @@ def proxy_need(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", need["reason"].alias("reason"))
 
 
-_WORDS = "|".join(classify.CONTACT_WORDS)
+_WORDS, _ASKS = "|".join(classify.CONTACT_WORDS), "|".join(classify.FORM_WORDS)
+_TITLE = "replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&#x27;', chr(39)), '&amp;', '&')"
+_BARE = "regexp_replace(html, '(?is)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
 
 
 @R.add(
     "contact_pages",
-    f"""SELECT page_id, coalesce(regexp_matches(lower(url), '{_WORDS}'), false) OR coalesce(regexp_matches(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '{_WORDS}'), false) AS contact,
- regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages WHERE html IS NOT NULL""",
+    f"""SELECT page_id, {_TITLE} AS title, regexp_extract(html, '(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1) AS description,
+ coalesce(regexp_matches(lower(url), '{_WORDS}'), false) OR regexp_matches(lower({_TITLE}), '{_WORDS}')
+ OR len(list_filter(regexp_extract_all({_BARE}, '(?is)<h[123][^>]*>(.*?)</h[123]>', 1), lambda x: regexp_matches(lower(regexp_replace(x, '<[^>]*>', '', 'g')), '{_WORDS}'))) > 0
+ OR len(list_filter(regexp_extract_all({_BARE}, '(?is)<form[^>]*>(.*?)</form>', 1), lambda x: regexp_matches(lower(regexp_replace(x, '<[^>]*>', '', 'g') || ' ' ||
+ array_to_string(regexp_extract_all(x, '(?:name|placeholder|id)="([^"]*)"', 1), ' ')), '{_ASKS}'))) > 0 AS contact FROM pages WHERE html <> ''""",
 )
 def contact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    p = table(spark, sf_dir, "pages").filter("html IS NOT NULL")
-    return p.select("page_id", classify.is_contact_page(F.col("url"), title).alias("contact"), title.alias("title"))
+    p = table(spark, sf_dir, "pages").filter("html <> ''").withColumn("f", html_facts("html"))
+    contact = classify.is_contact_page(F.col("html"), F.col("url"), F.col("f.title"), F.col("f.headings"), F.col("f.forms"))
+    return p.select("page_id", F.col("f.title").alias("title"), F.col("f.description").alias("description"), contact.alias("contact"))
 
 
 @R.add("html_contacts")
@@ -345,18 +338,6 @@ def html_contact_links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.explode(html_contact_links("html", "url")).alias("link"))
 
 
-@R.add("phones_normalized")
-def phones_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "sample_input").filter("phone_number IS NOT NULL")
-    return s.select("listing_id", normalize_phone("phone_number", F.upper(F.trim("country_code"))).alias("p")).select("listing_id", "p.*")
-
-
-@R.add("whatsapp_check")
-def whatsapp_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = table(spark, sf_dir, "zen_contacts").select("id", F.explode("whatsapp").alias("n"))
-    return z.select("id", "n", validate_whatsapp("n", F.lit(None).cast("string")).alias("w")).select("id", "n", "w.valid", "w.country", "w.type", "w.reason")
-
-
 @R.add(
     "source_rows",
     """WITH d AS (SELECT id, TRY_CAST(data AS JSON) AS j FROM results)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import codecs
 import re
+import warnings
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +17,67 @@ from contactweave.functions.common import blank_to_null
 from contactweave.operators.postprocess import url_column, useful_columns
 
 #: Encodings tried one after the other (fixed values).
-TRIAL_ENCODINGS = ("utf-8", "cp1252", "cp1251", "cp1250", "shift_jis", "euc_jp", "gb18030", "big5", "euc_kr", "iso8859-2", "koi8-r")
+TRIAL_ENCODINGS = (
+    "utf-8", "shift_jis", "euc-jp", "iso-2022-jp", "euc-kr", "cp949", "gb2312", "gbk", "gb18030", "big5",
+    "cp1252", "cp1251", "cp1250", "iso-8859-1", "iso-8859-15", "utf-16", "utf-16-le", "utf-16-be",
+)
+#: Those of two bytes a letter; Western text with single accented letters decodes under them too.
+_WIDE = frozenset(TRIAL_ENCODINGS[1:10])
+_TOUCHING = re.compile(r"[A-Za-z][\u2e80-\uffef]|[\u2e80-\uffef][A-Za-z]")
+_IDEOGRAPH = re.compile(r"[\u2e80-\uffef]")
 _BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 
 
-def read_listing(spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8", all_columns: bool = False) -> DataFrame:
+#: Charsets that the CSV source takes without further permission.
+_SPARK_CHARSETS = frozenset(("utf-8", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32"))
+#: Bytes at the head of a file that tell its encoding.
+SAMPLE = 100_000
+
+
+def file_encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """Encoding of each file by its first `SAMPLE` bytes; files that can't be read are left out. One row a file."""
+
+    @F.pandas_udf("string")
+    def guess(head: pd.Series) -> pd.Series:
+        def one(raw) -> str:
+            # the cut may fall into a letter, so a few bytes at the end don't count
+            raw = bytes(raw)
+            return guess_encoding(raw if len(raw) < SAMPLE else raw[: raw.rfind(b"\n") + 1] or raw[:-4])
+
+        return head.map(one)
+
+    found: dict[str, str] = {}
+    for path in paths:
+        try:
+            files = spark.read.format("binaryFile").load(path).select("path", guess(F.substring("content", 1, SAMPLE)).alias("e"))
+            found |= {path: r["e"] for r in files.collect()}
+        except Exception:  # noqa: BLE001 - a missing file is reported by the caller
+            continue
+    return found
+
+
+def read_listing(spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None, all_columns: bool = False, broken_lines: bool = True) -> DataFrame:
     """Listing CSV, every column a string (phones keep their plus), only useful columns, rows without a web address dropped.
 
-    `source_file` is the file's name. Quoted line breaks are allowed; files are split by Spark
-    where they hold none.
+    `source_file` is the file's name. Without `encoding` each file's own is looked up; a file that can't be opened is left out
+    with a warning. `broken_lines` allows line breaks in quotes, which makes each file one task; without it
+    large files are split.
     """
-    df = spark.read.csv(list(paths) if not isinstance(paths, str) else paths, header=True, inferSchema=False, multiLine=True, escape='"', encoding=encoding)
-    df = df.withColumn("source_file", F.col("_metadata.file_name"))
+    many = [paths] if isinstance(paths, str) else list(paths)
+    kinds = {p: encoding for p in many} if encoding else file_encodings(spark, many)
+    for p in many:
+        if p not in kinds:
+            warnings.warn(f"{p} can't be read and is left out", stacklevel=2)
+    if not kinds:
+        raise FileNotFoundError(f"none of {many} can be read")
+    if not {k.lower() for k in kinds.values()} <= _SPARK_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the other encodings of Java's CSV reader
+    parts = []
+    for kind in dict.fromkeys(kinds.values()):
+        mine = [p for p in kinds if kinds[p] == kind]
+        for p in mine:  # files may differ in their columns
+            parts.append(spark.read.csv(p, header=True, inferSchema=False, multiLine=broken_lines, escape='"', encoding=kind).withColumn("source_file", F.col("_metadata.file_name")))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     names = [c for c in df.columns if c != "source_file"]
     df = df.select(*(names if all_columns else useful_columns(names)), "source_file").na.fill("")
     url = url_column(df.columns)
@@ -45,9 +96,10 @@ def count_with_url(df: DataFrame, limit: int | None = None) -> int:
 
 
 def is_readable_csv(spark: SparkSession, path: str) -> bool:
-    """The file opens and holds a row."""
+    """The file opens under one of the trial encodings and holds a row."""
     try:
-        return not spark.read.csv(path, header=True, mode="PERMISSIVE").isEmpty()
+        kind = file_encodings(spark, [path]).get(path)
+        return kind is not None and not spark.read.csv(path, header=True, mode="PERMISSIVE", encoding=kind).isEmpty()
     except Exception:  # noqa: BLE001 - any failure to open means it isn't readable
         return False
 
@@ -66,6 +118,7 @@ RESULT_FIELDS = {
     "link": "string", "web_site": "string", "title": "string", "phone": "string", "category": "string", "address": "string", "latitude": "double",
     "longtitude": "double", "longitude": "double", "review_count": "int", "review_rating": "double", "domain": "string", "cid": "string",
     "data_id": "string", "price_range": "string", "claimed": "string", "timezone": "string", "plus_code": "string",
+    "thumbnail": "string", "featured_image": "string",
 }
 
 
@@ -83,7 +136,7 @@ def parse_results(results: DataFrame) -> DataFrame:
         F.col("id").alias("result_id"),
         blank_to_null(F.col("d.link")).alias("link"),
         blank_to_null(F.col("d.web_site")).alias("url"),
-        *[F.trim(F.col(f"d.{c}")).alias(c) for c in ("title", "phone", "category", "address", "domain", "cid", "price_range", "timezone")],
+        *[F.trim(F.col(f"d.{c}")).alias(c) for c in ("title", "phone", "category", "address", "domain", "cid", "data_id", "price_range", "timezone", "claimed", "plus_code", "thumbnail", "featured_image")],
         F.col("d.latitude").alias("latitude"),
         F.coalesce(F.nullif(F.col("d.longtitude"), F.lit(0.0)), F.col("d.longitude")).alias("longitude"),
         F.col("d.review_count").alias("review_count"),
@@ -93,9 +146,10 @@ def parse_results(results: DataFrame) -> DataFrame:
     ).filter(F.col("link").isNotNull() & F.col("url").isNotNull())
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without blanks and # comments, trimmed."""
-    return spark.read.text(path).select(F.trim("value").alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+def read_lines(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
+    """Lines without blanks and # comments, trimmed; `distinct` as a set."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    return lines.distinct() if distinct else lines
 
 
 def parse_endpoints(lines: DataFrame) -> DataFrame:
@@ -124,21 +178,35 @@ def valid_ip_port(c):
     return F.coalesce((c.rlike(ip) | c.rlike(r"^(?=.*[A-Za-z])[A-Za-z0-9][A-Za-z0-9.\-]*:")) & port.between(1, 65535), F.lit(False))
 
 
+def _fits(raw: bytes, name: str) -> bool:
+    """The bytes decode, nothing is replaced, and ideographs don't stand inside Latin words."""
+    try:
+        text = raw.decode(name)
+    except (LookupError, UnicodeDecodeError):
+        return False
+    if "�" in text:
+        return False
+    if name in _WIDE:
+        signs = len(_IDEOGRAPH.findall(text))
+        return not signs or len(_TOUCHING.findall(text)) <= 0.3 * signs
+    return name == "utf-8" or not name.startswith("utf-16") or text.isprintable()
+
+
 def guess_encoding(raw: bytes, declared: str | None = None) -> str:
-    """Byte order mark, declared charset, charset in the first 4 KB, then the first encoding that decodes."""
+    """Byte order mark, declared charset, charset in the first 4 KB, then the first encoding that fits."""
     for mark, name in _BOMS:
         if raw.startswith(mark):
             return name
     head = raw[:4096].decode("latin-1")
     m = re.search(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_\-]+)", head, re.I) or re.search(r"<\?xml[^>]*encoding=[\"']([\w\-]+)", head)
-    for name in (declared, m[1] if m else None, *TRIAL_ENCODINGS):
+    for name in (declared, m[1] if m else None):
         if name:
             try:
                 if "�" not in raw.decode(name):
                     return name.lower()
             except (LookupError, UnicodeDecodeError):
                 continue
-    return "latin-1"
+    return next((name for name in TRIAL_ENCODINGS if _fits(raw, name)), "latin-1")
 
 
 def decode_bytes(raw: bytes | None, declared: str | None = None) -> tuple[str | None, str | None]:

@@ -39,7 +39,8 @@ def test_url_predicates(spark):
     ("raw", "want"),
     [
         ("user@shop-one.comphone", "user@shop-one.com"), ("<Info@Shop.example.org>", "info@shop.example.org"), ("a@b.png", None), ("904-1978info@shop.org", "info@shop.org"),
-        ("ushello@shop.org", "hello@shop.org"), ("x@gmail.comname.org", None), ("12345678@shop.org", None), ("", None), (None, None), ("team@net.company", "team@net.com"),
+        ("ushello@shop.org", "hello@shop.org"), ("x@gmail.comname.org", None), ("12345678@shop.org", None), ("", None), (None, None), ("team@net.company", "team@net.company"),
+        ("info@hotel.berlin", "info@hotel.berlin"), ("x@bar.cloud", "x@bar.cloud"), ("me@shop.club", "me@shop.club"), ("a@foo.company", "a@foo.company"), ("a@foo.comphone", "a@foo.com"), ("jo@studio.design", None),
     ],
 )
 def test_normalize_email(spark, raw, want):
@@ -109,7 +110,7 @@ PAGE = """<html><head><title>Contact us</title><script type="application/ld+json
 def test_page_contacts():
     got = html_contacts.contacts(PAGE)
     mails = [v for f, v, *_ in got if f == "email"]
-    assert mails == ["head@shop.org", "foot@shop.org", "ld@shop.org", "js@shop.org"]
+    assert mails == ["head@shop.org", "foot@shop.org", "ld@shop.org"]
     assert {p for f, v, p, *_ in got if f == "social"} == {"facebook", "instagram"}
     assert [v for f, v, *_ in got if f == "whatsapp"] == ["+35699123456"]
     assert html_contacts.contact_links(PAGE, "https://shop.org/x") == ["https://shop.org/contact", "https://shop.org/about"]
@@ -117,6 +118,34 @@ def test_page_contacts():
     assert "jo (at) shop.org" in html_contacts.page_text(PAGE)
 
 
+def test_page_parts_and_structured_data():
+    page = """<div id="header"><a href="mailto:top@shop.org">m</a></div><nav><a href="tel:+35621234567">t</a></nav><p>mid@shop.org</p><div class="x site-footer">end@shop.org</div>
+<script type="application/ld+json">{"@type": "LocalBusiness", "email": ["a@firm.org", "b@firm.org"], "telephone": ["+356 2123 4567", 5], "contactPoint": [{"email": "c@firm.org"}]}</script>
+<script>var socialLinks = {"facebookPage": "https://facebook.com/firm", "deep": [{"my_tiktok": "https://tiktok.com/@firm"}]};</script><script>x = "api.whatsapp.com/send?phone=35699111222"</script>
+<a href="https://fb.me/p" aria-label="facebook">f</a>"""
+    got = html_contacts.contacts(page)
+    assert [(v, p) for f, v, _x, p, _o in got if f == "email"] == [("top@shop.org", "header"), ("end@shop.org", "footer"), ("a@firm.org", "structured"), ("b@firm.org", "structured"), ("c@firm.org", "structured"), ("mid@shop.org", "page")]
+    assert ("+356 2123 4567", "structured") in [(v, p) for f, v, _x, p, _o in got if f == "phone"] and ("+35621234567", "header") in [(v, p) for f, v, _x, p, _o in got if f == "phone"]
+    assert {(x, v) for f, v, x, _p, _o in got if f == "social"} == {("facebook", "https://facebook.com/firm"), ("tiktok", "https://tiktok.com/@firm")}
+    assert [v for f, v, *_ in got if f == "whatsapp"] == ["+35699111222"]
+    links = '<a href="/x/contactus.html">a</a><a href="/team">Our TEAM</a><a href="/x/contactus.html">again</a><a href="//else.example/contact">e</a><a href="tel:1">contact</a><a href="/p">Prices</a>'
+    assert html_contacts.contact_links(links, "https://shop.org/q") == ["https://shop.org/x/contactus.html", "https://shop.org/team"]
+
+
+def test_contact_page(spark):
+    rows = [("<h2>Unser Team</h2>", "https://s.org/x"), ("<form><input name='your-message'></form>", "https://s.org/x"), ("<p>Bread</p>", "https://s.org/kontakt"), ("<p>Bread</p>", "https://s.org/x"), ("", "https://s.org/contact"), (None, None)]
+    df = spark.createDataFrame(rows, "html string, url string").withColumn("f", html_contacts.html_facts("html"))
+    got = [r[0] for r in df.select(classify.is_contact_page(F.col("html"), F.col("url"), F.col("f.title"), F.col("f.headings"), F.col("f.forms"))).collect()]
+    assert got == [True, True, True, False, False, False]
+
+
+def test_phone_arrays(spark):
+    df = spark.createDataFrame([(["+49 151 2345678", "030 123456", "12", "+491512345678"], "DE"), (None, None), ([], "DE")], "a array<string>, r string")
+    assert [r[0] for r in df.select(phones.normalize_phones("a", "r")).collect()] == [["+491512345678", "+4930123456", "12"], [], []]
+    first = df.select(phones.check_whatsapps("a", "r")).first()[0]
+    assert [(x["number"], x["valid"], x["reason"]) for x in first][:2] == [("+49 151 2345678", True, "valid"), ("030 123456", False, "not_mobile")]
+
+
 def test_links_table_function(spark):
     spark.udtf.register("html_links", html_contacts.HtmlLinks)
     rows = spark.sql("SELECT * FROM html_links('<a href=\"/a\">x</a>', 'https://s.org')").collect()
@@ -130,7 +159,7 @@ def test_common(spark):
     assert one(spark, common.merge_arrays(F.array(F.lit("a"), F.lit(None)), F.array(F.lit("b"), F.lit("a"), F.lit("")))) == ["a", "b"]
     assert one(spark, common.safe_div(F.lit(1.0), F.lit(0))) == 0.0
     assert 0 <= one(spark, common.partition_key(F.lit("x"))) < 32
-    assert common.chunk_rows(8, 50, 16) >= 100
+    assert common.chunk_rows(8, 50, 16) == 0 and common.chunk_rows(3, 50_000, 4) == 10_240 and common.chunk_rows(12, 9_000, 4) == 1000
 
 
 def test_bytes():

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from contactweave.engine import Engine
@@ -68,6 +69,11 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in df.select("name", "phone", "source_file").collect()] == [('A, "B"', "+49", "a.csv")]
     assert readers.is_readable_csv(spark, str(tmp_path / "a.csv")) and not readers.is_readable_csv(spark, str(tmp_path / "none.csv"))
     assert readers.header_of(spark, str(tmp_path / "a.csv"))[1] == "name"
+    (tmp_path / "w.csv").write_bytes("name,url\nCafé Ål,https://w.example\n".encode("cp1252"))
+    (tmp_path / "j.csv").write_bytes("name,url\n日本語の店,https://j.example\n".encode("shift_jis"))
+    with pytest.warns(UserWarning):
+        both = readers.read_listing(spark, [str(tmp_path / "w.csv"), str(tmp_path / "j.csv"), str(tmp_path / "none.csv")])
+    assert {r["name"] for r in both.collect()} == {"Café Ål", "日本語の店"}
     (tmp_path / "p.txt").write_text("# c\n\n10.0.0.1:80\nhttp://u:p@h.example:81\nh.example:82:u2:p2\nbad\n10.0.0.1:99999\n")
     ends = {r["server"]: r for r in readers.parse_endpoints(readers.read_lines(spark, str(tmp_path / "p.txt"))).collect()}
     assert set(ends) == {"10.0.0.1:80", "h.example:81", "h.example:82"} and ends["h.example:82"]["password"] == "p2"
@@ -96,6 +102,14 @@ def test_engine_and_table(spark, tmp_path):
     rows = {r["name"]: r for r in Engine(spark).enrich(listings, pages).collect()}
     assert rows["A"]["emails"] == ["jo@shop.org"] and rows["A"]["facebook"] == "https://facebook.com/shop" and rows["A"]["scraping_status"] == "success"
     assert rows["B"]["scraping_status"] == "skipped_social" and rows["C"]["scraping_status"] == "error"
+    several = spark.createDataFrame(
+        [(3, "shop.org", "<p>late@shop.org</p>", None), (1, "shop.org", '<a href="tel:0151 2345678">t</a><p>b@shop.org</p>', None), (2, "shop.org", None, "timeout")], "page_id long, url string, html string, fetch_error string"
+    )
+    r = Engine(spark).enrich(listings.filter("name = 'A'").withColumn("country_code", F.lit("DE")), several).first()
+    assert r["emails"] == ["b@shop.org", "late@shop.org"] and r["phones"] == ["+491512345678"] and r["scraping_status"] == "success" and r["pages_scraped"] == 3
+    out = postprocess.output_rows(Engine(spark).enrich(listings, pages.withColumn("html", F.concat("html", F.lit('<a href="https://wa.me/491512345678">w</a>')))), F.lit(1)).filter("name = 'A'").first()
+    assert out["validated_emails"] == "jo@shop.org (reason:not_probed, conf:unknown, big:False)" and out["validated_emails_count"] == 1
+    assert out["validated_whatsapp"] == "+491512345678 (valid:True, type:mobile, country:DE, reason:valid)" and out["validated_whatsapp_count"] == 1 and out["whatsapp_found"] == 1
     old = spark.createDataFrame([contact("a", ["x"])], OLD)
     sinks.write_contacts(old, str(tmp_path / "t"))
     sinks.merge_into(spark, str(tmp_path / "t"), spark.createDataFrame([contact("a", ["y"], None, "success")], OLD), str(tmp_path / "s"))
@@ -113,3 +127,29 @@ def test_streams(spark, tmp_path):
     assert hours.first()["rows_processed"] == 6
     assert jobs.run_once(jobs.without_repeats(read(), "ts", ["k"]), "once", str(tmp_path / "c3")).count() >= 1
     assert jobs.run_once(jobs.rolling_rate(read(), "ts", "k"), "roll", str(tmp_path / "c4"), "complete").count() > 0
+
+
+def test_sheet_width_follows_the_rows(spark):
+    df = spark.createDataFrame([(1, "a@x.org; b@x.org; nan"), (2, "=cmd"), (3, None)], "id long, emails string")
+    assert postprocess.sheet_export(df, ["id"]).columns == ["id", "email_1", "email_2"] and postprocess.sheet_export(df, ["id"], width=4).columns[-1] == "email_4"
+    assert postprocess.sheet_export(df.limit(0), ["id"]).columns == ["id", "email_1"]
+
+
+def test_turns_and_usable_endpoints(spark):
+    jobs, ends = spark.createDataFrame([(i,) for i in range(7)], "id long"), spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "server string")
+    got = {r["id"]: r["server"] for r in merging.round_robin(jobs, ["id"], ends, "server").collect()}
+    assert [got[i] for i in range(7)] == list("abcabca")
+    assert merging.round_robin(jobs, ["id"], ends.limit(0), "server").filter("server IS NULL").count() == 7
+    assert {r["server"] for r in merging.still_usable(ends, ends.filter("server = 'a'"), "server").collect()} == {"b", "c"}
+    assert merging.still_usable(ends, ends, "server").count() == 4
+
+
+def test_prepared_contacts(spark):
+    df = spark.createDataFrame(
+        [("L1", "https://s.org", "T", "DE", "a@x.org; b@x.org", "true", "success", "3"), ("", "", "T2", "DE", None, None, None, None), ("L3", "u", None, "Malta", "", "no", None, "x")],
+        "link string, url string, title string, country string, emails string, was_redirected string, status string, pages_scraped string",
+    ).withColumn("pages_scraped", F.when(F.col("pages_scraped").rlike("^[0-9]+$"), F.col("pages_scraped")))
+    a, b = sorted(merging.prepared_contacts(df).collect(), key=lambda r: r["source_link"])
+    assert (a["emails"], a["emails_count"], a["country_name"], a["scrape_was_redirected"], a["scrape_status"], a["scrape_pages_count"], a["latitude"]) == (["a@x.org", "b@x.org"], 2, "Germany", True, "success", 3, None)
+    assert (b["country_code"], b["country_name"], b["emails"], b["scrape_status"], b["scrape_was_redirected"]) == ("XX", "", [], "unknown", False)
+    assert merging.prepared_contacts(df.limit(0)).count() == 0
