@@ -7,14 +7,17 @@ occurs in no pattern lets the window jump span - 1 words, a block that occurs ea
 pattern jumps to align it. Where the shift is zero, the bucket of the block (the suffix hash)
 gives the candidate patterns, and word by word comparison confirms them.
 
-The items are held-out lists, small by nature; `max_patterns` proves the bound before the tables
-are shipped. Documents pass once, Arrow-batched, without a shuffle, and are read to their end.
+The tables are built once on the driver from up to `max_items` items and shipped as a broadcast, which
+every worker process keeps. Longer lists are cut into blocks of that size by the item's hash, and each block is
+searched for by itself, so a list has no upper bound. Documents pass Arrow-batched, once per block,
+without a shuffle, and are read to their end.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +28,7 @@ from contactweave.llm.folding import fold
 from contactweave.session import bounded_rows
 
 SPAN = 10
-MAX_ITEMS = 100_000
-MAX_PATTERNS = 5_000_000
+MAX_ITEMS = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -50,8 +52,6 @@ class WuManber:
             w = words(text) if text else []
             for i in range(len(w) - span + 1):
                 patterns.setdefault(tuple(w[i : i + span]), set()).add(item)
-        if len(patterns) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} patterns")
         for p, owners in patterns.items():
             for end in range(1, span):
                 block = (p[end - 1], p[end])
@@ -82,25 +82,41 @@ class WuManber:
         return sorted(found)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
+_kept: dict[int, WuManber] = {}
+
+
+def _search_for(shared, key: int) -> WuManber:
+    """The tables of a broadcast, kept by this worker process."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = WuManber(*shared.value)
+    return _kept[key]
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id): every document with every item it gives away.
 
     Null, empty and short texts hold nothing; items of fewer than `span` words have no pattern.
     A repeated document is reported under each of its ids.
     """
-    rows = bounded_rows(benchmark.select("item_id", "text").filter("item_id IS NOT NULL"), MAX_ITEMS, "evaluation items")
-    items = [(r["item_id"], r["text"]) for r in rows]
-    # what is shipped holds only the tables' sources; each worker builds its tables once per task
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        search = WuManber(items, span)
-        for s in texts:
-            yield s.map(search.find)
-
-    hits = run.asNondeterministic()(F.col("text"))
-    return (
-        documents.filter(F.length("text") > 0)
-        .select("doc_id", hits.alias("items"))
-        .select("doc_id", F.explode("items").alias("item_id"))
-    )
+    sc = documents.sparkSession.sparkContext
+    items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND length(text) > 0")
+    blocks = max(1, -(-items.count() // max_items))
+
+    def block(i: int) -> DataFrame:
+        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i) if blocks > 1 else items
+        # a block holds about max_items rows; the factor allows for the hash, the check for ids that repeat
+        rows = bounded_rows(mine, 4 * max_items, "evaluation items of a block")
+        shared = sc.broadcast(([(r["item_id"], r["text"]) for r in rows], span))
+        key = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)
+
+        @F.pandas_udf(T.ArrayType(T.LongType()))
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            search = _search_for(shared, key)
+            for s in texts:
+                yield s.map(search.find)
+
+        hits = run.asNondeterministic()(F.col("text"))
+        return documents.filter(F.length("text") > 0).select("doc_id", hits.alias("items")).select("doc_id", F.explode("items").alias("item_id"))
+
+    return reduce(lambda a, b: a.unionByName(b), [block(i) for i in range(blocks)])

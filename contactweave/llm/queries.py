@@ -58,6 +58,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@R.add("p3_candidates")
+def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries within the distance of each typed town, with their distances."""
+    return reference_match.town_candidates(table(spark, sf_dir, "results"), table(spark, sf_dir, "city_ref"), table(spark, sf_dir, "country_ref"))
+
+
 @R.add("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.repaired(table(spark, sf_dir, "sample_input"), "listing_id", ("name", "street")).select(
@@ -111,6 +117,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+@R.add("p8_texts", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return tokenizing.decode_corpus(tokenizing.encode_corpus(table(spark, sf_dir, "documents"))).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 @R.add("p9_found", LEAK_SQL)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_search.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -8,9 +8,10 @@ banded edit distance as the automaton's state: a subtree is left as soon as no c
 is within the distance allowed for the value's length. All entries within that distance come
 back; the nearest win, and ties are settled by the country beside the value.
 
-The lists are small by nature; `bounded_rows` proves it before they are shipped. The corpus is
-never shuffled: matching is one narrow Arrow-batched pass with a memo of values seen, which is
-what makes a value repeated in a third of the rows cheap.
+A list of up to `limit` entries is shipped as a trie: the corpus is then never shuffled, matching is one
+narrow Arrow-batched pass with a memo of values seen, which is what makes a value repeated in a third of the
+rows cheap. A longer town list is joined instead (`match_joined`): distinct values meet the list's spellings by a
+pigeonhole segment join, every pair is verified with the same distance, and the same rules decide.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contactweave.llm.folding import fold
+from contactweave.llm.folding import damerau, fold
+from contactweave.llm.segment_join import similar_pairs
 from contactweave.session import bounded_rows
 from contactweave.sources.readers import parsable
 
@@ -82,6 +84,7 @@ TOWN_PREFIXES = (
 _BEFORE = re.compile(
     r"^(?:(?:city|town|village|municipality|stadt|gemeinde|commune|ville|ciudad|comune) (?:of|de|di|von)\b|greater|near|nr|nahe|pres de|cerca de|central|downtown|metro)\.?\s+"
 )
+_CODE = re.compile(r"^\d[\d ]*\b\s*|\s+\d[\d ]*$")
 _COUNTRY_TAIL = re.compile(r"\s*(?:\(([^()]*)\)|[,/|]\s*([^,]*))\s*$")
 
 
@@ -226,8 +229,13 @@ class Towns:
 
     def match(self, value: str | None, country: str | None = None) -> tuple[str | None, list[str]]:
         """(reference key or None, all nearest candidates). `country`: as typed beside the value."""
+        s, code = self.spelling(value, country)
+        return self._nearest(s, code) if s else (None, [])
+
+    def spelling(self, value: str | None, country: str | None) -> tuple[str, str | None]:
+        """(folded spelling without what people add to a name, country code beside or behind it)."""
         if value is None or not value.strip():
-            return None, []
+            return "", None
         code = self.countries.match(country)
         tail_code, plain = None, value
         m = _COUNTRY_TAIL.search(plain)
@@ -235,13 +243,16 @@ class Towns:
             tail_code = self.countries.match(m[1] or m[2])
             if tail_code or m[1] is not None:
                 plain = plain[: m.start()]
-        s = squeeze(plain)
-        s = re.sub(r"^\d[\d ]*\b\s*|\s+\d[\d ]*$", "", s).strip()
+        s = _CODE.sub("", squeeze(plain)).strip()
         for _ in range(2):
             s = _BEFORE.sub("", s)
-        if not s:
-            return None, []
-        return self._nearest(s, code or tail_code)
+        return s, code or tail_code
+
+    def within(self, value: str | None, country: str | None = None) -> list[tuple[str, int]]:
+        """All entries within the distance allowed for the value, nearest first, with their distances."""
+        s, _code = self.spelling(value, country)
+        found = self.trie.search(s, allowed_distance(len(s))) if s else {}
+        return sorted(found.items(), key=lambda x: (x[1], x[0]))
 
     def _nearest(self, s: str, code: str | None) -> tuple[str | None, list[str]]:
         exact = self.exact.get(s)
@@ -320,22 +331,115 @@ def parsed_results(results: DataFrame) -> DataFrame:
     return parsable(results).select("id", F.from_json("data", ADDRESS_SCHEMA).alias("j"))
 
 
-def map_towns(results: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> DataFrame:
-    """Records whose typed town differs from every listed name: rec_id, typed, ref_key or UNMATCHED."""
+def candidates_udf(towns: list[tuple], countries: list[tuple]):
+    """`(typed town, typed country) -> array<struct<ref_key, distance>>`, nearest first."""
+
+    @F.pandas_udf("array<struct<ref_key:string,distance:int>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        ref, memo = Towns(towns, Countries(countries)), _Memo()
+        for values, beside in batches:
+            out = []
+            for k in zip(values, beside):
+                out.append(memo[k] if k in memo else memo.put(k, [{"ref_key": e, "distance": d} for e, d in ref.within(*k)]))
+            yield pd.Series(out, dtype=object)
+
+    return run.asNondeterministic()
+
+
+def spelling_udf(countries: list[tuple]):
+    """`(typed town, typed country) -> struct<spelling, code>`."""
+
+    @F.pandas_udf("struct<spelling:string,code:string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ref = Towns([], Countries(countries))
+        for values, beside in batches:
+            yield pd.DataFrame([ref.spelling(*k) for k in zip(values, beside)], columns=["spelling", "code"])
+
+    return run.asNondeterministic()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def paths_udf(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """All spellings under which a listed name is looked up, its own first."""
+    for s in values:
+        ref = Towns([], Countries([]))
+        yield s.map(lambda v: [squeeze(v), *sorted(ref._paths(squeeze(v)) - {squeeze(v)})] if v else [])
+
+
+@F.pandas_udf(T.IntegerType())
+def distance_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Edits between a value and a spelling (a swap is one), -1 beyond what the value's length allows."""
+    for a, b in batches:
+        out = []
+        for x, y in zip(a, b):
+            limit = allowed_distance(len(x))
+            d = damerau(x, y, limit)
+            out.append(d if d <= limit else -1)
+        yield pd.Series(out)
+
+
+def match_joined(typed: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> DataFrame:
+    """(typed, beside, ref_key or null) for the distinct (typed, beside) of `typed`, the list joined as a table.
+
+    The same candidates and rules as `Towns.match`: exact spellings shut out others, the nearest wins, the country
+    beside the value settles ties, and a misspelling counts only in that country.
+    """
+    asked = typed.select("typed", "beside").distinct()
+    asked = asked.select("typed", "beside", spelling_udf(load_countries(country_ref))("typed", "beside").alias("s")).select("typed", "beside", "s.spelling", "s.code").filter("spelling <> ''")
+    refs = city_ref.filter("city_key IS NOT NULL").select(F.col("city_key").alias("ref_key"), F.col("country_code").alias("land"), F.explode(F.array("city_name", "alt_name")).alias("name")).filter("name <> ''")
+    refs = refs.select("ref_key", "land", F.posexplode(paths_udf("name")).alias("at", "path")).groupBy("ref_key", "land", "path").agg(F.min("at").alias("at"))
+    values = asked.select(F.lit("*").alias("block"), F.col("spelling").alias("text")).distinct()
+    # a swap of neighbours is two plain edits, so the join looks twice as far as the distance goes
+    near = similar_pairs(refs.select(F.lit("*").alias("block"), F.col("path").alias("text")).distinct(), values, ladder=((6, 4), (3, 2)))
+    near = near.select(F.col("b").alias("spelling"), F.col("a").alias("path"), distance_udf("b", "a").alias("d")).filter("d >= 0")
+    near = near.unionByName(values.select(F.col("text").alias("spelling"), F.col("text").alias("path"), F.lit(0).alias("d")))
+    found = near.join(refs, "path").groupBy("spelling", "ref_key", "land").agg(F.min("d").alias("d"), F.max((F.col("d") == 0) & (F.col("at") == 0)).alias("exact"))
+    shut = found.groupBy("spelling").agg(F.max("exact").alias("shut"))
+    found = found.join(shut, "spelling").filter(~F.col("shut") | F.col("exact"))
+    hits = asked.join(found, "spelling").withColumn("inside", F.col("land") == F.col("code"))
+    per = hits.groupBy("typed", "beside", "code", "spelling").agg(F.min("d").alias("least"), F.min(F.when(F.col("inside"), F.col("d"))).alias("low"))
+    keys = ["typed", "beside"]
+    j = hits.join(per.select(F.col("typed").alias("t"), F.col("beside").alias("k"), "least", "low"), F.col("typed").eqNullSafe(F.col("t")) & F.col("beside").eqNullSafe(F.col("k")))
+    elsewhere = (F.col("d") == F.col("least")) & (F.col("code").isNull() | (F.col("least") == 0))
+    wanted = F.when(F.col("low").isNotNull(), F.col("inside") & (F.col("d") == F.col("low"))).otherwise(elsewhere)
+    top = j.filter(wanted).groupBy(*keys).agg(F.countDistinct("ref_key").alias("n"), F.min("ref_key").alias("ref_key"))
+    return top.select(*keys, F.when(F.col("n") == 1, F.col("ref_key")).alias("ref_key"))
+
+
+def town_candidates(results: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> DataFrame:
+    """rec_id, typed, ref_key, distance: every entry within the distance of every town that is not spelled as listed."""
     towns, countries = load_towns(city_ref), load_countries(country_ref)
+    typed = typed_towns(results, city_ref)
+    return typed.select("rec_id", "typed", F.explode(candidates_udf(towns, countries)("typed", "beside")).alias("c")).select("rec_id", "typed", "c.ref_key", "c.distance")
+
+
+def typed_towns(results: DataFrame, city_ref: DataFrame) -> DataFrame:
+    """rec_id, typed, beside of records whose typed town differs from every listed name."""
     names = city_ref.select(F.col("city_name").alias("__name")).distinct()
     town = F.col("j.complete_address.city")
-    typed = (
+    return (
         parsed_results(results)
         .select(F.col("id").alias("rec_id"), town.alias("typed"), F.col("j.complete_address.country").alias("beside"))
         .filter(F.col("typed").isNotNull() & (F.trim(F.regexp_replace("typed", r"\s+", " ")) != ""))
-        .join(F.broadcast(names), F.col("typed") == F.col("__name"), "left_anti")
-    )
-    return typed.select(
-        "rec_id", "typed", F.coalesce(town_udf(towns, countries)("typed", "beside"), F.lit(UNMATCHED)).alias("ref_key")
+        .join(names, F.col("typed") == F.col("__name"), "left_anti")
+        .drop("__name")
     )
 
 
+def map_towns(results: DataFrame, city_ref: DataFrame, country_ref: DataFrame, limit: int = MAX_REFERENCE) -> DataFrame:
+    """Records whose typed town differs from every listed name: rec_id, typed, ref_key or UNMATCHED.
+
+    A list of more than `limit` entries is joined instead of shipped, with the same result.
+    """
+    typed = typed_towns(results, city_ref)
+    if city_ref.limit(limit + 1).count() > limit:
+        got = match_joined(typed, city_ref, country_ref).select(F.col("typed").alias("t"), F.col("beside").alias("k"), "ref_key")
+        joined = typed.join(got, F.col("typed").eqNullSafe(F.col("t")) & F.col("beside").eqNullSafe(F.col("k")), "left")
+        return joined.select("rec_id", "typed", F.coalesce("ref_key", F.lit(UNMATCHED)).alias("ref_key"))
+    udf = town_udf(load_towns(city_ref, limit), load_countries(country_ref))
+    return typed.select("rec_id", "typed", F.coalesce(udf("typed", "beside"), F.lit(UNMATCHED)).alias("ref_key"))
+
+
 def map_countries(contacts: DataFrame, country_ref: DataFrame, placeholder: str = "XX") -> DataFrame:
     """Records whose typed country differs from every listed code: rec_id, typed, ref_key or UNMATCHED."""
     countries = load_countries(country_ref)

@@ -1,6 +1,7 @@
+import json
 import random
 
-from contactweave.llm import org_names, places, stuffing
+from contactweave.llm import leak_search, org_names, places, reference_match, stuffing, tokenizing
 from test_llm import LISTING, surroundings
 
 
@@ -55,3 +56,55 @@ def test_glued_name_meets_the_longer_form_of_another(spark):
 def test_listing_without_town_finds_it_by_parts_in_another_order(spark):
     rows = [(1, "Bernov Hamtipmar Bakery", "Golzeldun", "+49 555 01234"), (2, "Hamtipmar, Bernov - Bakery", None, "+49 555 01234"), (3, "Wixcal Novwenpel Bakery", "Golzeldun", None), (4, "Novwenpel Wixcal Bakery", None, None)]
     assert _linked(spark, rows) == {(1, 2), (3, 4)}
+
+
+# ------------------------------------------------------------------ problems 3 and 9
+def test_joined_towns_agree_with_the_trie(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bal cor dun fir gol har jas kel".split()) for _ in range(rng.choice((2, 3)))).title()
+    towns = [(f"T{i}", ("Saint " if i % 7 == 0 else "") + word(), word() if i % 5 == 0 else None, rng.choice(("DE", "MT"))) for i in range(120)]
+    countries = [("DE", "Germany", "DEU", "Deutschland"), ("MT", "Malta", "MLT", "Malta")]
+    city, country = spark.createDataFrame(towns, "city_key string, city_name string, alt_name string, country_code string"), spark.createDataFrame(countries, "country_code string, country_name string, iso3 string, native_name string")
+
+    def typed(name):
+        s = list(name)
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            at = rng.randrange(len(s) - 1)
+            kind = rng.randrange(4)
+            if kind == 0:
+                s[at], s[at + 1] = s[at + 1], s[at]
+            elif kind == 1 and len(s) > 3:
+                del s[at]
+            elif kind == 2:
+                s.insert(at, rng.choice("abxyz"))
+            else:
+                s[at] = rng.choice("aeiou")
+        return "".join(s).replace("Saint", rng.choice(("St.", "Saint", "san")))
+
+    rows = []
+    for i in range(400):
+        _key, name, alt, code = rng.choice(towns)
+        rows.append((i, json.dumps({"complete_address": {"city": typed(rng.choice((name, alt or name))) + rng.choice(("", "", " (DE)", ", Malta")), "country": rng.choice((code, code, "MT", None, "nowhere"))}})))
+    rows += [(900, json.dumps({"complete_address": {"city": "  ", "country": "DE"}})), (901, json.dumps({"complete_address": {"city": "zzzzzzzzzzz", "country": "DE"}}))]
+    results = spark.createDataFrame(rows, "id long, data string")
+    get = lambda limit: {tuple(r) for r in reference_match.map_towns(results, city, country, limit).collect()}
+    shipped, joined = get(1000), get(10)
+    assert shipped == joined and sum(r[2] != "UNMATCHED" for r in shipped) > 100
+    near = {(r["rec_id"], r["ref_key"]): r["distance"] for r in reference_match.town_candidates(results, city, country).collect()}
+    assert all((i, key) in near for i, _t, key in shipped if key != "UNMATCHED") and set(near.values()) <= {0, 1, 2}
+
+
+def test_long_item_lists_are_searched_in_blocks(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(14))) for i in range(60)] + [(60, None), (61, "")]
+    docs = [(i, "x y " + " ".join(items[rng.randrange(60)][1].split()[: rng.choice((9, 10, 14))]) + " z") for i in range(120)] + [(500, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    get = lambda n: sorted(tuple(r) for r in leak_search.leaks(d, b, max_items=n).collect())
+    assert get(1000) == get(7) and len(get(1000)) > 40
+
+
+def test_much_repeated_texts_are_spread(spark):
+    docs = [(i, "the same text again") for i in range(95)] + [(200, None), (201, ""), (202, "another one"), (203, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r["ids"]) for r in tokenizing.encode_corpus(d, copies=10).collect()}
+    assert len(got) == 99 and len({got[i] for i in range(95)}) == 1 and got[0] and got[200] == got[201] == got[203] == () and got[202] != got[0]
