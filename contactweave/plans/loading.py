@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contactweave.operators import packed, quarantine
 from contactweave.plans.registry import Registry
@@ -59,6 +60,14 @@ def p1_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine.loaded(quarantine.error_parse(table(spark, sf_dir, "listing_lines")))
 
 
+@R.add("p1_edits")
+def p1_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest edits of every record that breaks the form: number of quote and delimiter repairs, and the operations in order."""
+    parsed = quarantine.error_parse(table(spark, sf_dir, "listing_lines"))
+    broken = (F.col("parse.quote_edits") > 0) | (F.col("parse.delimiter_edits") > 0)
+    return parsed.filter(broken).select("line_id", "parse.quote_edits", "parse.delimiter_edits", F.array_join("parse.edits", "; ").alias("edits"))
+
+
 @R.add("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.split_listing_fields(table(spark, sf_dir, "sample_input"))
