@@ -1,17 +1,16 @@
 """Encoding of the whole corpus with a public tokenizer: global distinct-word shuffle (problem 8).
 
 Byte-level BPE never merges across pre-tokens, so each distinct pre-token is encoded once for the
-whole corpus. Distinct texts are cut into pre-tokens with positions in the JVM (regular expression,
-no Python), the distinct pre-tokens are encoded Arrow-batched, the ids are joined back and
-each text is put together again by position. Decoding joins the table of token bytes.
+whole corpus. Texts are cut into pre-tokens in the JVM (regular expression), the distinct ones are counted and
+encoded Arrow-batched, and the ids are joined back and put together by position. Decoding joins the table
+of token bytes.
 
 Words follow Zipf's law, so a plain join on the word would send a tenth of the corpus to one task.
 Words with at least `hot_share` of all occurrences, of which there can be no more than
-1 / hot_share, are joined as a broadcast; that is the bound under which they are shipped. They never leave the
-partition of their text. Only the rest is sent to its word and back, with all its places in a text at once.
-
-Repeated texts are encoded once. Their ids are copied over as many keys as a much repeated text needs
-(`salts`), so that no task gets all its rows. Rows with an empty or null text take no part in any join.
+1 / hot_share, are looked up where the text is; that is the bound under which their ids are shipped. What is left of a
+text are its runs of known ids and the gaps between them: only the words of the gaps are sent to their ids and back, with
+all their places in a text at once. A row is a row throughout, so no repeated text is a key, and a text without gaps
+and rows with an empty or null text take no part in any join.
 
 The tokenizer's file is a parameter; nothing is trained and nothing is copied.
 """
@@ -81,10 +80,33 @@ def decode_corpus(encoded: DataFrame, path: str = f"{TOKENIZER_DIR}/{BYTE_BPE_50
     )
 
 
-#: Ids of the public vocabularies fit into so many bits; place and id of a word of one token share a long.
-ID_BITS = 20
-#: Rows of one text that one task gives their ids.
-COPIES = 10_000
+_PARTS = T.StructType(
+    [T.StructField("runs", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("gaps", T.ArrayType(T.StringType()))]
+)
+
+
+def _known_udf(shared):
+    """`pre-tokens -> (runs, gaps)`: ids of known words, cut where a word has to be asked for; one more run than gaps."""
+
+    @F.pandas_udf(_PARTS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for s in batches:
+            rows = []
+            for words in s:
+                runs, gaps, ids = [], [], []
+                for piece, word in zip(map(known.get, words), words):
+                    if piece is None:
+                        runs.append(ids)
+                        gaps.append(word)
+                        ids = []
+                    else:
+                        ids += piece
+                runs.append(ids)
+                rows.append((runs, gaps))
+            yield pd.DataFrame(rows, columns=_PARTS.names)
+
+    return run.asNondeterministic()
 
 
 def encode_corpus(
@@ -93,45 +115,33 @@ def encode_corpus(
     id_col: str = "doc_id",
     text_col: str = "text",
     hot_share: float = 1e-5,
-    copies: int = COPIES,
 ) -> DataFrame:
     """(id, ids) for every row; a null and an empty text give an empty list.
 
     Special tokens' strings are ordinary text. Rows with equal texts, equal ids or null ids keep
     their own row each.
     """
-    ensure_checkpoint_dir(documents.sparkSession)
-    none = F.array().cast("array<int>")
+    spark = documents.sparkSession
+    ensure_checkpoint_dir(spark)
     docs = documents.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
-    full = docs.filter(F.length("text") > 0).withColumn("key", F.unhex(F.md5("text")))
-    texts = full.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    tokens = texts.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "word"))
-    counted = tokens.groupBy("word").count()
+    cut = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
+    counted = docs.filter(F.length("text") > 0).select(F.explode(cut).alias("word")).groupBy("word").count()
     words = counted.select("word", encode_udf(path)("word").alias("piece"), "count").checkpoint()
     least = (words.agg(F.sum("count")).first()[0] or 0) * hot_share
-    hot = words.filter(F.col("count") >= least).select("word", F.col("piece").alias("hot"))
+    hot = words.filter(F.col("count") >= least).select("word", "piece").limit(int(1 / hot_share) + 1).collect()
+    shared = spark.sparkContext.broadcast({r["word"]: list(r["piece"]) for r in hot})
     cold = words.filter(F.col("count") < least).select("word", "piece")
-    # one pass over the tokens by text: ids of hot words by place, places of cold words by word
-    joined = tokens.join(F.broadcast(hot), "word", "left")
-    seen, single = F.col("hot").isNotNull(), F.size("hot") == 1
-    place = F.shiftleft(F.col("pos").cast("long"), ID_BITS)
-    parts = joined.groupBy("key").agg(
-        F.collect_list(F.when(single, place + F.get("hot", F.lit(0)))).alias("ones"),
-        F.collect_list(F.when(seen & ~single, F.struct("pos", F.col("hot").alias("piece")))).alias("several"),
-        F.collect_list(F.when(~seen, F.struct("word", "pos"))).alias("open"),
-    ).checkpoint()
-    asked = parts.filter(F.size("open") > 0).select("key", F.explode("open").alias("o")).groupBy("key", "o.word").agg(F.collect_list("o.pos").alias("at"))
-    answered = asked.join(cold, "word").select("key", F.struct("at", "piece").alias("x")).groupBy("key").agg(F.collect_list("x").alias("late"))
-    spread = F.flatten(F.transform(F.coalesce("late", F.array().cast("array<struct<at:array<int>,piece:array<int>>>")), lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["piece"].alias("piece")))))
-    singles = F.transform("ones", lambda x: F.struct(F.shiftright(x, ID_BITS).cast("int").alias("pos"), F.array(x.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")).alias("piece")))
-    whole = F.array_sort(F.concat(singles, "several", spread))
-    encoded = parts.join(answered, "key", "left").select("key", F.flatten(F.transform(whole, lambda x: x["piece"])).alias("ids"))
-    # much repeated texts are answered under several keys; they can't be more than (rows / copies)
-    salts = texts.filter(F.col("n") > copies).select("key", F.ceil(F.col("n") / copies).cast("int").alias("salts"))
-    many = encoded.join(salts, "key", "left").select(
-        "key", "ids", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    parts = docs.filter(F.length("text") > 0).select(id_col, F.monotonically_increasing_id().alias("row"), _known_udf(shared)(cut).alias("p")).select(id_col, "row", "p.*").checkpoint()
+    gapped = parts.filter(F.size("gaps") > 0)
+    asked = gapped.select("row", F.posexplode("gaps").alias("at", "word")).groupBy("row", "word").agg(F.collect_list("at").alias("places"))
+    answered = (
+        asked.join(cold, "word").select("row", F.explode("places").alias("at"), "piece").groupBy("row")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]).alias("late"))
     )
-    rows = full.select(id_col, "key").join(salts, "key", "left").select(id_col, "key", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    return rows.join(many, ["key", "salt"]).select(id_col, "ids").unionByName(
-        docs.filter((F.length("text") == 0) | F.col("text").isNull()).select(id_col, none.alias("ids"))
+    late = F.transform("runs", lambda ids, i: F.concat(ids, F.coalesce(F.get("late", i), F.array().cast("array<int>"))))
+    none = F.array().cast("array<int>")
+    return (
+        gapped.join(answered, "row").select(id_col, F.flatten(late).alias("ids"))
+        .unionByName(parts.filter(F.size("gaps") == 0).select(id_col, F.flatten("runs").alias("ids")))
+        .unionByName(docs.filter((F.length("text") == 0) | F.col("text").isNull()).select(id_col, none.alias("ids")))
     )

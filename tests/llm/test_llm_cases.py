@@ -103,8 +103,10 @@ def test_long_item_lists_are_searched_in_blocks(spark):
     assert get(1000) == get(7) and len(get(1000)) > 40
 
 
-def test_much_repeated_texts_are_spread(spark):
+def test_words_of_any_share_give_the_same_ids(spark):
     docs = [(i, "the same text again") for i in range(95)] + [(200, None), (201, ""), (202, "another one"), (203, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r["ids"]) for r in tokenizing.encode_corpus(d, copies=10).collect()}
+    rows = [{r["doc_id"]: tuple(r["ids"]) for r in tokenizing.encode_corpus(d, hot_share=share).collect()} for share in (1e-5, 0.2, 0.9)]
+    got = rows[0]
+    assert rows[0] == rows[1] == rows[2]
     assert len(got) == 99 and len({got[i] for i in range(95)}) == 1 and got[0] and got[200] == got[201] == got[203] == () and got[202] != got[0]
