@@ -1,7 +1,7 @@
 import json
 import random
 
-from contactweave.llm import leak_search, org_names, places, reference_match, stuffing, tokenizing
+from contactweave.llm import leak_search, org_names, places, reference_match, segment_join, stuffing, tokenizing
 from test_llm import LISTING, surroundings
 
 
@@ -110,3 +110,90 @@ def test_words_of_any_share_give_the_same_ids(spark):
     got = rows[0]
     assert rows[0] == rows[1] == rows[2]
     assert len(got) == 99 and len({got[i] for i in range(95)}) == 1 and got[0] and got[200] == got[201] == got[203] == () and got[202] != got[0]
+
+
+# ------------------------------------------------------------------ recall against brute force and generated truth
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_segment_join_finds_every_pair(spark):
+    """All pairs within the distance, and no other, in both forms of the join."""
+    rng = random.Random(21)
+    texts = set()
+    for _ in range(40):
+        base = "".join(rng.choice("abcd") for _ in range(rng.choice((4, 5, 6, 8, 9, 13, 14, 17))))
+        texts.add(base)
+        for _ in range(4):
+            s = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                at = rng.randrange(len(s))
+                s[at : at + 1] = rng.choice(([], [s[at], rng.choice("abcd")], [rng.choice("abcd")]))
+                s = s or ["a"]
+            texts.add("".join(s))
+    allowed = lambda n: next((k for least, k in segment_join.LADDER if n >= least), 0)
+    rows = [(block, t) for block in ("x", "y") for t in sorted(texts) if block == "x" or len(t) % 2]
+    df = spark.createDataFrame(rows, "block string, text string")
+    got = {tuple(r) for r in segment_join.similar_pairs(df).collect()}
+    near = lambda a, b: a != b and _levenshtein(a, b) <= allowed(min(len(a), len(b)))
+    want = {(k, *sorted((a, b), key=lambda t: (len(t), t))) for k in ("x", "y") for q, a in rows if q == k for r, b in rows if r == k and near(a, b)}
+    assert got == want and len(want) > 100
+    probes = spark.createDataFrame([(k, t) for k, t in rows][::5], "block string, text string")
+    asked = [tuple(r) for r in probes.collect()]
+    both = {tuple(r) for r in segment_join.similar_pairs(df, probes).collect()}
+    assert both == {(k, a, b) for k, b in asked for q, a in rows if q == k and near(a, b)}
+
+
+def test_recall_on_generated_organisations(spark):
+    """Spellings made by rules of their own: typing errors, other orders, words written together, short trades, legal forms."""
+    rng = random.Random(33)
+    syllables = "bal cor dun fir gol har jas kel lum mar nov ost pel qua rus sel tam ulf vel wix".split()
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n)).title()
+    trades = (("Bakery", "Bkry", "bakery"), ("Dental Clinic", "Dental Clin.", "dental_clinic"), ("Book Store", "Book Store", "book_store"), ("Plumbing Svcs", "Plumbing Svcs", "plumber"))
+
+    def slip(s):
+        at = rng.randrange(1, len(s) - 2)
+        return rng.choice((s[:at] + s[at + 1] + s[at] + s[at + 2 :], s[:at] + s[at + 1 :], s[:at] + s[at] + s[at:]))
+
+    truth, rows, i = {}, [], 0
+    for org in range(120):
+        town = rng.choice(("Golzeldun", "Saint Novbri"))
+        a, b = word(3), word(3)
+        full, short, _cat = rng.choice(trades)
+        kinds = [f"{a} {b} {full}", f"{a} {b} {short} Ltd.", f"{b}, {a} - {full}", f"{slip(a)} {b} {full}", f"{a}{b} {full}", f"{a} {slip(b)} {short}", f"{a.upper()} & {b.upper()} {full.upper()}"]
+        for name in rng.sample(kinds, 4):
+            rows.append((i, name, town, None))
+            truth[i] = org
+            i += 1
+    got = _linked(spark, rows)
+    want = {(x, y) for x in truth for y in truth if x < y and truth[x] == truth[y] and rows[x][1] != rows[y][1]}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.98 * len(got)
+
+
+def test_recall_on_generated_addresses(spark):
+    rng = random.Random(35)
+    syllables = "bal cor dun fir gol har jas kel lum mar nov ost pel qua rus sel tam ulf vel wix".split()
+    city = spark.createDataFrame([("T1", "Saint Novbri", None, "DE"), ("T2", "Golzeldun", None, "DE")], "city_key string, city_name string, alt_name string, country_code string")
+    country = spark.createDataFrame([("DE", "Germany", "DEU", "Deutschland")], "country_code string, country_name string, iso3 string, native_name string")
+    streets = [("".join(rng.choice(syllables) for _ in range(4)).title(), rng.choice((("Street", "St."), ("Road", "Rd"), ("Avenue", "Ave."))), rng.choice(("Golzeldun", "Saint Novbri"))) for _ in range(30)]
+    truth, rows = {}, []
+    for i in range(900):
+        s = rng.randrange(30)
+        name, (long, short), town = streets[s]
+        number = str(rng.randrange(1, 12))
+        if rng.random() < 0.15:
+            at = rng.randrange(1, len(name) - 2)
+            name = name[:at] + name[at + 1] + name[at] + name[at + 2 :]
+        kind = rng.choice((long, short, short.lower(), long.upper()))
+        text = rng.choice((f"{number} {name} {kind}", f"{name} {kind}, No. {number}", f"Flat {rng.randrange(9) + 1}, {number} {name} {kind}", f"{name} {kind} #{number}", f"{number}, {name}"))
+        rows.append((i, text, rng.choice((town, town.lower())), "DE"))
+        truth[i] = (s, number)
+    placed = places.match_places(spark.createDataFrame(rows, "rec_id long, street string, city string, country string"), city, country)
+    got = {tuple(r) for r in places.class_pairs(placed, "rec_id", "place").collect()}
+    want = {(x, y) for x in truth for y in truth if x < y and truth[x] == truth[y]}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.99 * len(got)
