@@ -253,3 +253,26 @@ def single_url(spark: SparkSession, url: str) -> DataFrame:
 
 def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
+
+
+def table_there(spark: SparkSession, path: str) -> bool:
+    """A table of files at `path` can be read."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except Exception:  # noqa: BLE001 - any failure to open means there is none
+        return False
+
+
+def read_table(spark: SparkSession, where: str, name: str, key: str = "id", tasks: int = 32) -> DataFrame:
+    """A table by its parquet path or, with a jdbc: address, from a database.
+
+    A database table is read by `tasks` queries over ranges of `key`; filters and columns reach the database.
+    """
+    if not where.startswith("jdbc:"):
+        return spark.read.parquet(where)
+    source = spark.read.format("jdbc").option("url", where)
+    edge = source.option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {name}").load().first()
+    ranges = source.option("dbtable", name)
+    if edge["low"] is None:
+        return ranges.load()
+    return ranges.option("partitionColumn", key).option("lowerBound", edge["low"]).option("upperBound", edge["high"]).option("numPartitions", tasks).load()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contactweave.functions.common import partition_key
 from contactweave.operators.merging import upsert
-from contactweave.operators.postprocess import OUTPUT_COLUMNS
+from contactweave.operators.postprocess import OUTPUT_COLUMNS, SINGLE_COLUMNS
 
 
 def write_listing(df: DataFrame, path: str, rows_per_file: int | None = None) -> None:
@@ -65,4 +65,9 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_single(df: DataFrame, path: str) -> None:
+    """Result of a single address: the thirteen columns of `SINGLE_COLUMNS`, one file."""
+    df.select(*SINGLE_COLUMNS).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
