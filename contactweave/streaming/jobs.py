@@ -49,6 +49,48 @@ def latest_heartbeats(stream: DataFrame, key: str = "server_id", ts: str = "last
     return stream.groupBy(key).agg(F.max(ts).alias(ts), newest("status"), newest("current_task"))
 
 
+def server_health(stream: DataFrame, key: str = "server_id", ts: str = "last_heartbeat", late: str = "1 minute", silent: str = "5 minutes") -> DataFrame:
+    """A row per server and change of health: healthy or warning with its heartbeats, critical when it falls silent.
+
+    A heartbeat more than two minutes behind the watermark is a warning. A server that sends nothing for `silent` of event
+    time is reported critical once and forgotten, so the state never outgrows the servers that are alive.
+    """
+    limit_ms = int(pd.Timedelta(silent).total_seconds() * 1000)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = pd.Timestamp(state.get[0], unit="ms")
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], ts: [last], "health": ["critical"]})
+            return
+        newest = max(b[ts].max() for b in batches)
+        at = int(newest.timestamp() * 1000)
+        before = state.get if state.exists else (0, "")
+        mark = state.getCurrentWatermarkMs()
+        health = "warning" if mark and mark - at > 120_000 else "healthy"
+        at = max(at, before[0])
+        state.update((at, health))
+        state.setTimeoutTimestamp(max(at, mark + 1) + limit_ms)
+        if health != before[1]:
+            yield pd.DataFrame({key: [k[0]], ts: [newest], "health": [health]})
+
+    kind = dict(stream.dtypes)[key]
+    return (
+        stream.filter(F.col(ts).isNotNull()).withWatermark(ts, late).groupBy(key)
+        .applyInPandasWithState(step, f"`{key}` {kind}, `{ts}` timestamp, health string", "at long, health string", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
+def refreshed(stream: DataFrame, report, path: str, checkpoint: str, every: str = "5 minutes"):
+    """Start a query that rewrites the report at `path` after each trigger that brought rows; `report()` gives its frame."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            report().coalesce(1).write.mode("overwrite").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def smoothed(stream: DataFrame, key: str, value: str, ts: str, alpha: float = 0.2) -> DataFrame:
     """Moving average per key as rows arrive, ordered by time within a trigger; one number of state per key."""
 

@@ -153,3 +153,19 @@ def test_prepared_contacts(spark):
     assert (a["emails"], a["emails_count"], a["country_name"], a["scrape_was_redirected"], a["scrape_status"], a["scrape_pages_count"], a["latitude"]) == (["a@x.org", "b@x.org"], 2, "Germany", True, "success", 3, None)
     assert (b["country_code"], b["country_name"], b["emails"], b["scrape_status"], b["scrape_was_redirected"]) == ("XX", "", [], "unknown", False)
     assert merging.prepared_contacts(df.limit(0)).count() == 0
+
+
+def test_health_and_refresh(spark, tmp_path):
+    t = dt.datetime(2025, 1, 1, 10)
+    beat = lambda name, rows: spark.createDataFrame(rows, "server_id string, last_heartbeat timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    read = lambda: spark.readStream.schema("server_id string, last_heartbeat timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    beat("a", [("s1", t), ("s2", t)])
+    beat("b", [("s1", t + dt.timedelta(minutes=30))])
+    beat("c", [("s1", t + dt.timedelta(minutes=31))])
+    got = jobs.run_once(jobs.server_health(read()), "health", str(tmp_path / "c")).collect()
+    assert sorted((r["server_id"], r["health"]) for r in got) == [("s1", "healthy"), ("s2", "critical"), ("s2", "healthy")]
+    count = lambda: spark.read.parquet(str(tmp_path / "in"), recursiveFileLookup=True).agg(F.count("*").alias("n"))
+    q = jobs.refreshed(read(), count, str(tmp_path / "report"), str(tmp_path / "c2"), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "report")).first()["n"] == 4
