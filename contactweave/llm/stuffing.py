@@ -57,10 +57,10 @@ MAX_LANGUAGES = 40
 
 
 def _words(text: Column) -> Column:
-    """Lower-case words; every number is the same word."""
+    """Hashes of the lower-case words; every number is the same word. Nothing below asks for a word's letters."""
     raw = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
     # plain letters need no test
-    return F.transform(raw, lambda w: F.when(((w < "a") | (w >= "{")) & w.rlike(r"^\p{N}+$"), F.lit("#")).otherwise(w))
+    return F.transform(raw, lambda w: F.xxhash64(F.when(((w < "a") | (w >= "{")) & w.rlike(r"^\p{N}+$"), F.lit("#")).otherwise(w)))
 
 
 def word_curves(documents: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def word_curves(documents: DataFrame) -> DataFrame:
         F.coalesce(
             F.sqrt(F.greatest(F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(1.0))), F.lit(0.0)) / F.count("*")), F.lit(0.0)
         ).alias("residual"),
-        F.collect_list(F.xxhash64("word")).alias("words"),
+        F.collect_list("word").alias("words"),
         F.collect_list("f").alias("counts"),
     )
 
