@@ -199,23 +199,30 @@ def result_records(results: DataFrame) -> DataFrame:
 BLOCK = 2000
 
 
+def _pairs_inside(members: DataFrame, ident: str, key: str, block: int) -> DataFrame:
+    """(key, ident_a, ident_b), the smaller first, of distinct (key, ident), in blocks of a hash of ident."""
+    sizes = members.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").withColumn("__b", F.ceil(F.col("__n") / block).cast("int"))
+    spread = members.select(key, ident).join(sizes, key).withColumn("__i", F.pmod(F.xxhash64(ident), F.col("__b")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__b") - 1))
+    left = spread.select(key, F.col("__i").alias("__x"), every.alias("__y"), F.col(ident).alias(f"{ident}_a"))
+    right = spread.select(key, every.alias("__x"), F.col("__i").alias("__y"), F.col(ident).alias(f"{ident}_b"))
+    return left.join(right, [key, "__x", "__y"]).filter(F.col(f"{ident}_a") < F.col(f"{ident}_b")).select(key, f"{ident}_a", f"{ident}_b")
+
+
 def class_pairs(members: DataFrame, ident: str, key: str, extra: str | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs (smaller id first) of the members of a class, as the fixed result asks for; with `extra`, of members that differ in it.
 
-    A class of more than `block` members is cut into blocks of about that size by a hash of the id, and every pair of
-    blocks is a key of its own: each member is sent once per block, and no task gets more than two blocks.
+    A class of more than `block` members is cut into blocks of about that size by a hash, and every pair of
+    blocks is a key of its own: each member is sent once per block, and no task gets more than two blocks. With `extra` its
+    distinct values are paired and then joined with their members, so copies that are no pair cost nothing. Ids are distinct.
     """
-    cols = [ident, *([extra] if extra else [])]
-    inside = members.filter(F.col(key).isNotNull()).select(key, *cols)
-    sizes = inside.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").withColumn("__b", F.ceil(F.col("__n") / block).cast("int"))
-    spread = inside.join(sizes, key).withColumn("__i", F.pmod(F.xxhash64(ident), F.col("__b")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("__b") - 1))
-    left = spread.select(key, F.col("__i").alias("__x"), every.alias("__y"), *[F.col(c).alias(f"{c}_a") for c in cols])
-    right = spread.select(key, every.alias("__x"), F.col("__i").alias("__y"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    out = left.join(right, [key, "__x", "__y"]).filter(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
-    if extra:
-        out = out.filter(F.col(f"{extra}_a") != F.col(f"{extra}_b"))
-    return out.select(f"{ident}_a", f"{ident}_b")
+    inside = members.filter(F.col(key).isNotNull())
+    if extra is None:
+        return _pairs_inside(inside, ident, key, block).select(f"{ident}_a", f"{ident}_b")
+    values = _pairs_inside(inside.select(key, extra).filter(F.col(extra).isNotNull()).distinct(), extra, key, block)
+    of = lambda x: inside.select(key, F.col(extra).alias(f"{extra}_{x}"), F.col(ident).alias(f"__{x}"))
+    both = values.join(of("a"), [key, f"{extra}_a"]).join(of("b"), [key, f"{extra}_b"])
+    return both.select(F.least("__a", "__b").alias(f"{ident}_a"), F.greatest("__a", "__b").alias(f"{ident}_b"))
 
 
 def class_members(members: DataFrame, ident: str, key: str, extra: str | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from contactweave.llm import leak_search, org_names, places, reference_match, segment_join, stuffing, tokenizing
 from test_llm import LISTING, surroundings
 
@@ -197,3 +199,15 @@ def test_recall_on_generated_addresses(spark):
     got = {tuple(r) for r in places.class_pairs(placed, "rec_id", "place").collect()}
     want = {(x, y) for x in truth for y in truth if x < y and truth[x] == truth[y]}
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
+def test_copies_that_are_no_pair_cost_nothing(spark):
+    """A third of all rows are copies of one spelling: they meet the other spellings only."""
+    df = spark.range(60_000).select(
+        F.col("id").alias("k"), F.when(F.col("id") < 20_000, F.lit("hot")).otherwise(F.concat(F.lit("c"), (F.col("id") % 20_000).cast("string"))).alias("c"),
+        F.when(F.col("id") < 19_998, F.lit("same")).otherwise(F.concat(F.lit("n"), (F.col("id") % 3).cast("string"))).alias("t"),
+    )
+    pairs = places.class_pairs(df, "k", "c", "t")
+    got = pairs.agg(F.count("*"), F.count(F.when(F.col("k_b") < 20_000, 1)), F.count(F.when(F.col("k_a") >= F.col("k_b"), 1))).first()
+    small = df.filter("k >= 20000").groupBy("c", "t").count().groupBy("c").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
+    assert (got[1], got[2]) == (19_998 * 2 + 1, 0) and got[0] == got[1] + small
