@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactweave.plans.registry import Registry
-from contactweave.session import table
+from contactweave.session import ensure_checkpoint_dir, table
 from contactweave.streaming import jobs
 
 R = Registry()
@@ -22,10 +22,18 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """The stream's result after all that is there, written to the folder the executors share and read back."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    where = f"{folder.rstrip('/')}/streams/{name}-{spark.sparkContext.applicationId}-{id(stream)}" if folder else tempfile.mkdtemp(prefix=f"contactweave-{name}-")
-    done = jobs.run_once(stream, f"{name}_{id(stream)}", where, mode)
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/streams-{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/rows")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/rows")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    done = spark.read.parquet(f"{base}/rows")
     return done.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in done.dtypes])
 
 
