@@ -24,7 +24,8 @@ def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     is linked lies within one edge of the representative. Every round assigns all local maxima at once.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # what the edges are made of is planned once
+    both = edges.filter("a <> b").select(turned.alias("e")).select("e.*").distinct()
     rank = lambda x: nodes.select(F.col("id").alias(x), F.struct("weight", "id").alias(f"p{x}"))
     left = both.join(rank("a"), "a").join(rank("b"), "b").checkpoint()
     everyone = left.select(F.col("a").alias("id")).distinct()

@@ -374,7 +374,8 @@ resolve_udf = resolve_udf.asNondeterministic()
 
 def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: DataFrame) -> DataFrame:
     """listing_id, name, org (class id). Null and blank names, names without a core and listings whose town
-    can't be told have no class."""
+    can't be told have no class. Every step ends in a checkpoint, so the driver plans one step at a time and
+    not all of them once for every place that reads the classes."""
     ensure_checkpoint_dir(sample_input.sparkSession)
     udf = parts_udf(load_towns(city_ref), load_countries(country_ref), learn_lexicon(sample_input))
     base = (
@@ -393,14 +394,13 @@ def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: Dat
         "listing_id", "name", "town", "core", "forms", "first", "trade", "cats", "number"
     )
     # spelling classes of cores inside a town; all forms of a core look each other up
-    cores = placed.groupBy("town", "core").agg(F.count("*").alias("weight"), F.first("forms").alias("forms"))
+    cores = placed.groupBy("town", "core").agg(F.count("*").alias("weight"), F.first("forms").alias("forms")).checkpoint()
     nodes = cores.select(F.col("town").alias("block"), F.col("core").alias("node"), F.explode(F.array_union(F.array("core"), "forms")).alias("text"))
     texts = nodes.select("block", "text").distinct()
-    pairs = similar_pairs(texts)
+    pairs = similar_pairs(texts).unionByName(texts.select("block", F.col("text").alias("a"), F.col("text").alias("b"))).checkpoint()  # a form may be that of several cores
     of = lambda x: nodes.select("block", F.col("text").alias(x), F.col("node").alias(f"core_{x}"))
     near = pairs.join(of("a"), ["block", "a"]).join(of("b"), ["block", "b"]).select("block", F.col("core_a").alias("a"), F.col("core_b").alias("b"))
-    same = nodes.join(of("text2").withColumnRenamed("text2", "text"), ["block", "text"]).select("block", F.col("node").alias("a"), F.col("core_text2").alias("b"))
-    edges = near.unionByName(same).filter("a <> b").distinct()
+    edges = near.filter("a <> b").distinct()
     ident = lambda c: F.concat_ws(SEP, "block", c)
     roots = stars(cores.select(F.concat_ws(SEP, "town", "core").alias("id"), "weight"), edges.select(ident("a").alias("a"), ident("b").alias("b")))
     rooted = placed.withColumn("id", F.concat_ws(SEP, "town", "core")).join(roots, "id", "left").select(
@@ -416,7 +416,7 @@ def organisations(sample_input: DataFrame, city_ref: DataFrame, country_ref: Dat
         rooted.select(*key).distinct().join(here, "root").join(house, ["root", "number"], "left")
         .select(*key, resolve_udf("first", "trade", "cats", "here", F.coalesce("house", none)).alias("who"))
     )
-    return rooted.join(decided, key).select("listing_id", "name", F.concat_ws(SEP, "root", "who.first", "who.trade").alias("org"))
+    return rooted.join(decided, key).select("listing_id", "name", F.concat_ws(SEP, "root", "who.first", "who.trade").alias("org")).checkpoint()
 
 
 def _towns_of_lost(lost: DataFrame, known: DataFrame, city_ref: DataFrame) -> DataFrame:
@@ -442,7 +442,7 @@ def _towns_of_lost(lost: DataFrame, known: DataFrame, city_ref: DataFrame) -> Da
     land = F.col("block").startswith("c:")
     (m_low, m_high), (c_low, c_high) = range_of(~land), range_of(land)
     found = (
-        of_lost.join(hits, ["block", "text"]).groupBy("listing_id").agg(m_low.alias("m_low"), m_high.alias("m_high"), c_low.alias("c_low"), c_high.alias("c_high"))
+        of_lost.join(hits.checkpoint(), ["block", "text"]).groupBy("listing_id").agg(m_low.alias("m_low"), m_high.alias("m_high"), c_low.alias("c_low"), c_high.alias("c_high"))
         .select("listing_id", F.when(F.col("m_low") == F.col("m_high"), F.col("m_low")).alias("mark_town"), F.when(F.col("c_low") == F.col("c_high"), F.col("c_low")).alias("land_town"))
     )
     streets = known.filter(F.col("street") != "").select("town", "street").distinct().withColumn("street_id", F.concat_ws(SEP, "town", "street"))

@@ -53,11 +53,11 @@ def index_keys(text: str, ladder=LADDER) -> list[str]:
     return [f"{n}.{i}.{text[a : a + size]}" for i, (a, size) in enumerate(_cuts(n, k))] if k else []
 
 
-def probe_keys(text: str, ladder=LADDER) -> list[str]:
-    """Keys of the segments of shorter or equally long strings that `text` may hold."""
+def probe_keys(text: str, ladder=LADDER, equal: bool = True) -> list[str]:
+    """Keys of the segments of shorter or, with `equal`, equally long strings that `text` may hold."""
     n = len(text)
     keys: dict[str, None] = {}
-    for m in range(max(1, n - ladder[0][1]), n + 1):
+    for m in range(max(1, n - ladder[0][1]), n + equal):
         k = _allowed(m, ladder)
         diff = n - m
         if diff > k or not k:
@@ -71,6 +71,16 @@ def probe_keys(text: str, ladder=LADDER) -> list[str]:
     return list(keys)
 
 
+def node_keys(text: str, ladder=LADDER) -> list[str]:
+    """Keys of a node that is to be met by probes of any length: below "<" as the shorter one or of equal length, below ">" as the longer one."""
+    return [f"<{k}" for k in index_keys(text, ladder)] + [f">{k}" for k in probe_keys(text, ladder, equal=False)]
+
+
+def asking_keys(text: str, ladder=LADDER) -> list[str]:
+    """Keys of a probe against `node_keys`."""
+    return [f"<{k}" for k in probe_keys(text, ladder)] + [f">{k}" for k in index_keys(text, ladder)]
+
+
 def _keys_udf(fn, ladder):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -84,30 +94,23 @@ def similar_pairs(nodes: DataFrame, probes: DataFrame | None = None, ladder=LADD
     """Pairs (block, a, b) of different strings within the ladder's distance; a is not longer than b.
 
     `nodes`: distinct (block, text). With `probes` (distinct block, text), only pairs of a probe
-    and a node, as (block, a = node, b = probe), in either order of length. Null or empty texts match nothing.
+    and a node, as (block, a = node, b = probe), in either order of length; both orders are one join. Null or empty
+    texts match nothing. The keys are never broadcast: how many a text has is not known to the planner, which takes their
+    table for as small as that of the texts.
     """
     both = probes is not None
     nodes = nodes.filter(F.length("text") > 0)
     probes = nodes if probes is None else probes.filter(F.length("text") > 0)
+    a, b = F.col("a"), F.col("b")
+    top = max(k for _, k in ladder)
 
     def side(df: DataFrame, fn, name: str) -> DataFrame:
         keys = _keys_udf(fn, ladder)(F.col("text"))
         return df.select("block", F.col("text").alias(name), keys.alias("ks")).select("block", name, F.explode("ks").alias("k"))
 
-    def join(short: DataFrame, long: DataFrame, short_name: str, long_name: str) -> DataFrame:
-        a, b = F.col(short_name), F.col(long_name)
-        order = (a < b) if not both else (a != b)
-        cond = F.when(F.length(a) == F.length(b), order).otherwise(F.length(a) < F.length(b))
-        top = max(k for _, k in ladder)
-        return (
-            side(short, index_keys, short_name)
-            .join(side(long, probe_keys, long_name), ["block", "k"])
-            .filter(cond)
-            .select("block", "a", "b")
-            .distinct()
-            .filter(F.levenshtein(a, b, top).between(0, edits(F.length(a), ladder)))
-        )
-
-    if not both:
-        return join(nodes, nodes, "a", "b")
-    return join(nodes, probes, "a", "b").unionByName(join(probes, nodes, "b", "a")).distinct()
+    if both:
+        found = side(nodes, node_keys, "a").join(side(probes, asking_keys, "b").hint("merge"), ["block", "k"]).filter(a != b)
+    else:
+        order = F.when(F.length(a) == F.length(b), a < b).otherwise(F.length(a) < F.length(b))
+        found = side(nodes, index_keys, "a").join(side(probes, probe_keys, "b").hint("merge"), ["block", "k"]).filter(order)
+    return found.select("block", "a", "b").distinct().filter(F.levenshtein(a, b, top).between(0, edits(F.least(F.length(a), F.length(b)), ladder)))

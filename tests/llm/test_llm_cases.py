@@ -211,3 +211,27 @@ def test_copies_that_are_no_pair_cost_nothing(spark):
     got = pairs.agg(F.count("*"), F.count(F.when(F.col("k_b") < 20_000, 1)), F.count(F.when(F.col("k_a") >= F.col("k_b"), 1))).first()
     small = df.filter("k >= 20000").groupBy("c", "t").count().groupBy("c").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
     assert (got[1], got[2]) == (19_998 * 2 + 1, 0) and got[0] == got[1] + small
+
+
+# ------------------------------------------------------------------ what the driver holds of problem 4
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probes_are_looked_up_in_one_join_and_keys_not_broadcast(spark):
+    nodes = spark.createDataFrame([("t", "bernovhamtipmar"), ("t", "othername")], "block string, text string")
+    probes = spark.createDataFrame([("t", "bernovhamtipma"), ("t", "beernovhamtipmar"), ("t", "bernovhamtipmar")], "block string, text string")
+    pairs = segment_join.similar_pairs(nodes, probes)
+    for plan in (_plan(pairs), _plan(segment_join.similar_pairs(nodes))):
+        assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
+    assert {tuple(r) for r in pairs.collect()} == {("t", "bernovhamtipmar", "bernovhamtipma"), ("t", "bernovhamtipmar", "beernovhamtipmar")}
+
+
+def test_pairs_of_organisations_plan_no_step_before_the_classes(spark):
+    city = spark.createDataFrame([("T1", "Golzeldun", None, "DE")], "city_key string, city_name string, alt_name string, country_code string")
+    country = spark.createDataFrame([("DE", "Germany", "DEU", "Deutschland")], "country_code string, country_name string, iso3 string, native_name string")
+    rows = [(1, "Bernov Hamtipmar Bakery", None, "Golzeldun", "DE", None, None, None, None), (2, "Hamtipmar, Bernov - Bakery", None, "Golzeldun", "DE", None, None, None, None)]
+    pairs = places.class_pairs(org_names.organisations(spark.createDataFrame([*rows, *surroundings()], LISTING), city, country), "listing_id", "org", "name")
+    plan = _plan(pairs)
+    assert "Python" not in plan and plan.count("Scan") == plan.count("Scan ExistingRDD") > 0
+    assert (1, 2) in {tuple(r) for r in pairs.collect()}
